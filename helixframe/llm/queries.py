@@ -1,13 +1,20 @@
-"""The pipeline operators as queries over the driver tables."""
+"""The pipeline operators as queries over whole driver tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from helixframe.llm import langid, oracles, quality, url_filter, warc
+from helixframe.llm.decontaminate import find_leaks
+from helixframe.llm.line_dedup import dedup_lines
+from helixframe.llm.mixing import mix_sources
 from helixframe.llm.ngram_join import ngram_jaccard_components
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,5 +24,46 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard": op1_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), at_least=0)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=5, num=8, den=10)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, keep=["doc_id"])
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = langid.fold("doc_id", 5) == 0
+    model = langid.train(docs, ~held_out)
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES), default="allow", keep=["page_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_ngram_jaccard, op2_warc, op3_quality, op4_decontaminate, op5_mixing, op8_langid, op9_line_dedup, op10_url_filter)
+}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.OP1,
+    "op2_warc": oracles.OP2,
+    "op4_decontaminate": oracles.OP4,
+    "op5_mixing": oracles.OP5,
+    "op9_line_dedup": oracles.OP9,
+    "op10_url_filter": oracles.OP10,
+}

@@ -111,21 +111,23 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes)
     if not n:
         return np.empty(0, np.uint64)
-    width = min(k, n)
-    total = np.full(n - width + 1, width, np.uint64)
-    for j in range(width):
-        total += hashes[j : n - width + 1 + j] * _STEPS[j]
+    return running_shingles(hashes, min(k, n))
+
+
+def running_shingles(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-word shingles of the words on end; those across two texts are for the caller to leave out."""
+    n = len(hashes)
+    if n < k:
+        return np.empty(0, np.uint64)
+    total = np.full(n - k + 1, k, np.uint64)
+    for j in range(k):
+        total += hashes[j : n - k + 1 + j] * _STEPS[j]
     return mix(total)
 
 
 def shingle_sets(texts: pa.Array, k: int, lower: bool = True) -> Iterator[np.ndarray]:
     """For every text the sorted distinct hashes of its shingles."""
     hashes, at = word_hashes(*bytes_of(texts), lower=lower)
-    n = len(hashes)
-    if n >= k:  # shingles of all words at once; those across two texts are never used
-        total = np.full(n - k + 1, k, np.uint64)
-        for j in range(k):
-            total += hashes[j : n - k + 1 + j] * _STEPS[j]
-        every = mix(total)
+    every = running_shingles(hashes, k)
     for a, b in zip(at[:-1], at[1:], strict=True):
         yield np.unique(every[a : b - k + 1]) if b - a >= k else shingles(hashes[a:b], k)

@@ -46,6 +46,8 @@ SKETCH, SLICES = 1 << 18, 16
 BLOCK, PART = 400_000, 1_000_000
 #: Points of a cell that are searched together.
 CELL_BLOCK = 512
+#: Rows of such cells that one task should get together.
+CELL_ROWS = 50_000
 LEAF = 16
 
 
@@ -222,23 +224,38 @@ class RTree:
         return self.order[at[hit]]
 
 
+def _cross_pairs(nodes: np.ndarray, roots: np.ndarray, points: np.ndarray, sizes: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of one cell's two blocks (side 0 and 1) the pairs of two components that the bound lets through, as rows (a, b)."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(left) * len(right) <= 4096:
+        most = np.minimum(points[left][:, None], points[right][None]).sum(axis=2)
+        hit = ((num + den) * most >= num * (sizes[left][:, None] + sizes[right][None])) & (roots[left][:, None] != roots[right][None])
+        x, y = np.nonzero(hit)
+        a, b = nodes[left[x]], nodes[right[y]]
+    else:
+        tree = RTree(points[right], sizes[right])
+        found = [tree.search(points[i], int(sizes[i]), num, den) for i in left]
+        a = nodes[np.repeat(left, [len(f) for f in found])]
+        at = right[np.concatenate(found)]
+        apart = np.repeat(roots[left], [len(f) for f in found]) != roots[at]
+        a, b = a[apart], nodes[at][apart]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+
+
 def _tree_pairs(num: int, den: int):
-    """Of two blocks of one cell the pairs of two components that the tree lets through."""
+    """The pairs of all block pairs that were dealt to one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        points = np.stack([point(x) for x in right["point"]])
-        tree = RTree(points, right["n"].to_numpy())
-        nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
-        out_a, out_b = [], []
-        for node, root, n, raw in zip(left["node"], left["root"], left["n"], left["point"], strict=True):
-            found = tree.search(point(raw), n, num, den)
-            found = found[roots[found] != root]
-            out_a.append(np.minimum(nodes[found], node))
-            out_b.append(np.maximum(nodes[found], node))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+        pdf = pdf.sort_values(["cell", "i", "j"], kind="stable")
+        where = pdf[["cell", "i", "j"]].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1)]))
+        points = np.stack([point(x) for x in pdf["point"]])
+        nodes, roots, sizes, side = (pdf[c].to_numpy() for c in ("node", "root", "n", "side"))
+        out = [np.empty((0, 2), np.int64)]
+        for a, b in zip(first, np.append(first[1:], len(pdf)), strict=True):
+            out.append(_cross_pairs(nodes[a:b], roots[a:b], points[a:b], sizes[a:b], side[a:b], num, den))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
@@ -335,13 +352,26 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int
         split = cells.join(apart, (F.least("node", "pivot") == F.col("a")) & (F.greatest("node", "pivot") == F.col("b"))).select("cell").distinct()
         members = cells.join(split, "cell", "left_semi")
         members = materialize(members.select("cell", "node").union(members.select("cell", F.col("pivot"))).distinct(), "members")
-        members = _rooted(members, roots, "node").join(nodes.select("node", "n", "point"), "node")
-        blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("blocks"))
-        members = members.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rows = members.select("cell", "blocks", "block", "node", "root", "n", "point")
-        one = rows.select("*", F.lit(0).alias("side"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other")).select("cell", F.col("block").alias("i"), F.col("other").alias("j"), "side", "node", "root", "n", "point")
-        two = rows.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("other")).select("cell", F.col("other").alias("i"), F.col("block").alias("j"), "side", "node", "root", "n", "point")
-        pairs = one.union(two).groupBy("cell", "i", "j").applyInPandas(_tree_pairs(num, den), "a long, b long").distinct()
+        # a cell of two has no pair beside its pivot's; of cells with the same members one is enough
+        shape = members.groupBy("cell").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 2")
+        shape = shape.groupBy("c", "x", "y").agg(F.min("cell").alias("cell")).select("cell")
+        rows = _rooted(members.join(shape, "cell"), roots, "node").join(nodes.select("node", "n", "point"), "node")
+        rows = materialize(rows, "cell-rows")
+        # a pair of two components has an end outside the cell's largest one
+        sizes = rows.groupBy("cell", "root").agg(F.count("*").alias("c")).groupBy("cell").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("most"))
+        sizes = sizes.select("cell", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj")).where("ni > 0")
+        blocks = rows.join(sizes, "cell")
+        groups = max(1, -(-rows.count() // CELL_ROWS))
+        own = F.xxhash64("node")
+        spread = [
+            part.withColumn("side", F.lit(side)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1))).select("cell", *i_j, "side", "node", "root", "n", "point")
+            for side, part, other, i_j in (
+                (0, blocks.where("root <> main"), F.col("nj"), (F.pmod(own, F.col("ni")).alias("i"), F.col("other").cast("long").alias("j"))),
+                (1, blocks, F.col("ni"), (F.col("other").cast("long").alias("i"), F.pmod(own, F.col("nj")).alias("j"))),
+            )
+        ]
+        dealt = spread[0].union(spread[1]).withColumn("g", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(groups)))
+        pairs = dealt.groupBy("g").applyInPandas(_tree_pairs(num, den), "a long, b long").distinct()
         again = links.verify(materialize(pairs.join(star, ["a", "b"], "left_anti"), "pairs"))
         found = materialize(found.union(again), "links")
         roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))

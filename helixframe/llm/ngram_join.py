@@ -16,8 +16,9 @@ in a cell. Within a cell:
 
 1. every set is paired with the cell's smallest node only, pruned by the
    bound, and verified on the sets: connected components come from that;
-2. cells whose members ended in several components are searched again by
-   R-trees over blocks of their points, for pairs of two components.
+2. the cells of one smallest node, where their members ended in several
+   components, are searched again by R-trees over blocks of their points,
+   for pairs of two components.
 
 A pair in one component needs no second look, so no link is lost, and a group
 of g copies costs g pairs in place of g * g.
@@ -35,11 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.membership import bitmap_of, may_hold, slot_of
 from helixframe.llm.text import chunks, shingle_sets
 from helixframe.operators.components import connected_components
 from helixframe.storage import materialize
 
 GROUPS = 64
+#: Most groups of a fine vector, whose number follows the set's size. Vectors fold, so any two can be compared.
+FINE = 4096
 #: Counters of the frequency sketch and slices in which it is summed: 2 MB at most on the driver.
 SKETCH, SLICES = 1 << 18, 16
 #: Signatures that a task gathers before it sends them on, and that one cell partition should get.
@@ -56,13 +60,28 @@ def node_of(members: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(members.tobytes()) - (1 << 63)
 
 
-def count_vector(members: np.ndarray) -> bytes:
-    counts = np.bincount((members >> np.uint64(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
-    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+def _packed(counts: np.ndarray) -> bytes:
+    """The groups as a power of two, the width of a number, then the numbers."""
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([len(counts).bit_length() - 1, width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def count_vectors(members: np.ndarray) -> tuple[bytes, bytes]:
+    """The counts of a set in GROUPS groups, and in about as many groups as it has members."""
+    groups = min(max(GROUPS, 1 << len(members).bit_length()), FINE)
+    fine = np.bincount((members >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
+    return _packed(fine.reshape(-1, GROUPS).sum(axis=0)), _packed(fine)
 
 
 def point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
+    return np.frombuffer(raw, f"<u{raw[1]}", offset=2).astype(np.int32)
+
+
+def shared_at_most(a: bytes, b: bytes) -> int:
+    """The summed coordinate minima of two vectors, folded to the smaller number of groups."""
+    x, y = point(a), point(b)
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)).sum())
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -75,23 +94,25 @@ def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
         for batch in chunks(batches):
-            nodes, sizes, points = [], [], []
+            nodes, sizes, points, fines = [], [], [], []
             every = []
             for members in shingle_sets(batch["text"], k):
                 sizes.append(len(members))
                 nodes.append(node_of(members) if len(members) else None)
-                points.append(count_vector(members) if len(members) else None)
+                coarse, fine = count_vectors(members) if len(members) else (None, None)
+                points.append(coarse)
+                fines.append(fine)
                 every.append(members)
             sketch += np.bincount((np.concatenate(every) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n", "node", "point", "slice", "counts"],
+                [batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.array(fines, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["doc_id", "n", "node", "point", "fine", "slice", "counts"],
             )
         parts = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in np.split(sketch, SLICES)]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())],
-            names=["doc_id", "n", "node", "point", "slice", "counts"],
+            [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())],
+            names=["doc_id", "n", "node", "point", "fine", "slice", "counts"],
         )
 
     return run
@@ -113,7 +134,7 @@ def _frequency_class(described: DataFrame) -> bytes:
 
 
 def _signatures(k: int, num: int, den: int, classes, parts: int):
-    """Per task and cell partition the routing shingles of its distinct sets; of equal ones the smallest node stays, the others are pairs with it."""
+    """Per task and cell partition the routing shingles of its distinct sets; the smallest node of each shingle leads, the others follow it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(classes.value, np.uint8)
@@ -128,24 +149,24 @@ def _signatures(k: int, num: int, den: int, classes, parts: int):
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            pivot = np.repeat(node[first], np.diff(np.append(first, len(key))))
             more = np.ones(len(key), bool)
             more[first] = False
-            part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            follows = np.diff(np.append(first, len(key))) > 1
+            part = ((key[first] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            lead = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[lead], np.arange(parts + 1))
+            extra = np.array_split(np.flatnonzero(more), parts)  # settled later by a join, so any partition will do
             rows = []
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
-                own = order[cut[p] : cut[p + 1]]
-                if len(own):
-                    extra, lead = own[more[own]], own[~more[own]]
-                    rows.append((p, key[lead].tobytes(), node[lead].tobytes(), key[extra].tobytes(), node[extra].tobytes(), pivot[extra].tobytes()))
+                own = lead[cut[p] : cut[p + 1]]
+                if len(own) or len(extra[p]):
+                    rows.append((p, key[first[own]].tobytes(), node[first[own]].tobytes(), follows[own].tobytes(), key[extra[p]].tobytes(), node[extra[p]].tobytes()))
             keys.clear()
             nodes.clear()
             seen.clear()
             held = 0
             columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "keys", "nodes", "more_keys", "more_nodes", "more_pivots"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "keys", "nodes", "follows", "more_keys", "more_nodes"])
 
         for batch in chunks(batches):
             for members in shingle_sets(batch["text"], k):
@@ -168,20 +189,24 @@ def _signatures(k: int, num: int, den: int, classes, parts: int):
 
 
 def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All members of the cells with more than one: (cell, node, pivot)."""
+    """(cell, node, pivot): the tasks' leading nodes with their cell's smallest; (cell, pivot, pivot) where nodes follow; the followers, not leading, with themselves."""
     key = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
     node = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["nodes"]])
+    follows = np.concatenate([np.frombuffer(x, bool) for x in pdf["follows"]])
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, node, follows = key[order], node[order], follows[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
     pivot = np.repeat(node[first], np.diff(np.append(first, len(key))))
-    differs = node != pivot
-    cell = np.concatenate([key[differs], *(np.frombuffer(x, np.uint64) for x in pdf["more_keys"])])
+    followed = first[np.logical_or.reduceat(follows, first)] if len(first) else first
+    rows = np.concatenate([np.flatnonzero(node != pivot), followed])
+    more_key = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["more_keys"]])
+    more_node = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["more_nodes"]])
     return pd.DataFrame(
         {
-            "cell": cell.view(np.int64),
-            "node": np.concatenate([node[differs], *(np.frombuffer(x, np.int64) for x in pdf["more_nodes"])]),
-            "pivot": np.concatenate([pivot[differs], *(np.frombuffer(x, np.int64) for x in pdf["more_pivots"])]),
+            "cell": np.concatenate([key[rows], more_key]).view(np.int64),
+            "node": np.concatenate([node[rows], more_node]),
+            "pivot": np.concatenate([pivot[rows], more_node]),
+            "lead": np.concatenate([np.ones(len(rows), bool), np.zeros(len(more_key), bool)]),
         }
     )
 
@@ -192,7 +217,7 @@ def _bounded(num: int, den: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
-                most = np.fromiter((int(np.minimum(point(a), point(b)).sum()) for a, b in zip(pdf["point_a"], pdf["point_b"], strict=True)), np.int64, len(pdf))
+                most = np.fromiter((shared_at_most(a, b) for a, b in zip(pdf["x"], pdf["y"], strict=True)), np.int64, len(pdf))
                 keep = (num + den) * most >= num * (pdf["n_a"] + pdf["n_b"])
                 yield pdf.loc[keep, ["a", "b"]]
 
@@ -246,8 +271,8 @@ def _tree_pairs(num: int, den: int):
     """The pairs of all block pairs that were dealt to one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "i", "j"], kind="stable")
-        where = pdf[["cell", "i", "j"]].to_numpy()
+        pdf = pdf.sort_values(["pivot", "i", "j"], kind="stable")
+        where = pdf[["pivot", "i", "j"]].to_numpy()
         first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1)]))
         points = np.stack([point(x) for x in pdf["point"]])
         nodes, roots, sizes, side = (pdf[c].to_numpy() for c in ("node", "root", "n", "side"))
@@ -260,17 +285,15 @@ def _tree_pairs(num: int, den: int):
     return run
 
 
-def _sets(k: int):
-    """(node, members) of texts that stand for the wanted node."""
+def _sets(k: int, bitmap):
+    """(node, members) of the documents that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            nodes, blobs = [], []
-            for wanted, members in zip(batch["node"].to_pylist(), shingle_sets(batch["text"], k), strict=True):
-                if len(members) and node_of(members) == wanted:
-                    nodes.append(wanted)
-                    blobs.append(members.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "members"])
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(bitmap.value, batch["slot"].to_numpy())))
+            for part in chunks([batch]):
+                found = {node_of(m): m.tobytes() for m in shingle_sets(part["text"], k) if len(m)}
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["node", "members"])
 
     return run
 
@@ -296,17 +319,23 @@ class _Links:
     def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int):
         self.docs, self.nodes, self.k, self.num, self.den = docs, nodes, k, num, den
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        spots = self.nodes.select("node", "n", "point")
-        near = (
-            pairs.join(spots.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), "a")
-            .join(spots.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b")), "b")
+    def _within(self, pairs: DataFrame, column: str) -> DataFrame:
+        """Pairs that the vectors of a column let through."""
+        spots = self.nodes.select("node", "n", F.col(column).alias("v"))
+        return (
+            pairs.join(spots.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("v").alias("x")), "a")
+            .join(spots.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("v").alias("y")), "b")
             .mapInPandas(_bounded(self.num, self.den), "a long, b long")
         )
-        near = materialize(near, "near")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that the coarse vectors, the fine ones and then the sets confirm. Of texts only those of the pairs' nodes are read again."""
+        near = materialize(self._within(materialize(self._within(pairs, "point"), "near"), "fine"), "near")
         wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(self.nodes.select("node", "doc_id"), "node")
-        sets = self.docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text").mapInArrow(_sets(self.k), "node long, members binary")
-        sets = materialize(sets.dropDuplicates(["node"]), "sets")
+        wanted = materialize(wanted, "wanted")
+        bits, bitmap = bitmap_of(wanted, "doc_id")
+        found = self.docs.where("doc_id is not null").select(slot_of(F.col("doc_id"), bits).alias("slot"), "text").mapInArrow(_sets(self.k, bitmap), "node long, members binary")
+        sets = materialize(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
         return (
             near.join(sets.select(F.col("node").alias("a"), F.col("members").alias("members_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("members").alias("members_b")), "b")
@@ -331,48 +360,42 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(docs.mapInArrow(_describe(k), "doc_id long, n long, node long, point binary, slice int, counts binary"), "described")
-    each = described.where("slice is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "point")
-    nodes = materialize(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point")), "nodes")
+    described = materialize(docs.mapInArrow(_describe(k), "doc_id long, n long, node long, point binary, fine binary, slice int, counts binary"), "described")
+    each = described.where("slice is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "point", "fine")
+    nodes = materialize(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine")), "nodes")
 
     classes = spark.sparkContext.broadcast(_frequency_class(described))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, round(total * (den - num) / den / PART))
-    sent = docs.where("doc_id is not null").mapInArrow(_signatures(k, num, den, classes, parts), "part int, keys binary, nodes binary, more_keys binary, more_nodes binary, more_pivots binary")
-    cells = materialize(sent.groupBy("part").applyInPandas(_cells, "cell long, node long, pivot long"), "cells")
+    sent = docs.where("doc_id is not null").mapInArrow(_signatures(k, num, den, classes, parts), "part int, keys binary, nodes binary, follows binary, more_keys binary, more_nodes binary")
+    cells = materialize(sent.groupBy("part").applyInPandas(_cells, "cell long, node long, pivot long, lead boolean"), "cells")
+    more = cells.where("not lead").select("cell", "node").join(cells.where("lead and node = pivot").select("cell", "pivot"), "cell").select("node", "pivot")
+    star = materialize(cells.where("lead and node <> pivot").select("node", "pivot").union(more).distinct(), "star")
 
     links = _Links(docs, nodes, k, num, den)
-    star = materialize(cells.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "star")
-    found = materialize(links.verify(star), "links")
+    found = materialize(links.verify(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "links")
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    apart = _rooted(_rooted(star, roots, "a").withColumnRenamed("root", "root_a"), roots, "b").where("root_a <> root")
-    apart = materialize(apart.select("a", "b"), "apart")
-    if not apart.isEmpty():
-        split = cells.join(apart, (F.least("node", "pivot") == F.col("a")) & (F.greatest("node", "pivot") == F.col("b"))).select("cell").distinct()
-        members = cells.join(split, "cell", "left_semi")
-        members = materialize(members.select("cell", "node").union(members.select("cell", F.col("pivot"))).distinct(), "members")
-        # a cell of two has no pair beside its pivot's; of cells with the same members one is enough
-        shape = members.groupBy("cell").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 2")
-        shape = shape.groupBy("c", "x", "y").agg(F.min("cell").alias("cell")).select("cell")
-        rows = _rooted(members.join(shape, "cell"), roots, "node").join(nodes.select("node", "n", "point"), "node")
-        rows = materialize(rows, "cell-rows")
-        # a pair of two components has an end outside the cell's largest one
-        sizes = rows.groupBy("cell", "root").agg(F.count("*").alias("c")).groupBy("cell").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("most"))
-        sizes = sizes.select("cell", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj")).where("ni > 0")
-        blocks = rows.join(sizes, "cell")
-        groups = max(1, -(-rows.count() // CELL_ROWS))
+    # the cells of one pivot together; where all ended in one component, or none is left beside the pivot, nothing is open
+    members = star.union(star.select("pivot", "pivot").distinct())
+    rows = materialize(_rooted(members, roots, "node").select("pivot", "node", "root"), "members")
+    sizes = rows.groupBy("pivot", "root").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("most"))
+    # a pair of two components has an end outside the largest one
+    sizes = sizes.where("every > 2 and every > most.c").select("pivot", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj"))
+    blocks = materialize(rows.join(sizes, "pivot").join(nodes.select("node", "n", "point"), "node"), "cell-rows")
+    groups = -(-blocks.count() // CELL_ROWS)
+    if groups:
         own = F.xxhash64("node")
         spread = [
-            part.withColumn("side", F.lit(side)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1))).select("cell", *i_j, "side", "node", "root", "n", "point")
+            part.withColumn("side", F.lit(side)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1))).select("pivot", *i_j, "side", "node", "root", "n", "point")
             for side, part, other, i_j in (
                 (0, blocks.where("root <> main"), F.col("nj"), (F.pmod(own, F.col("ni")).alias("i"), F.col("other").cast("long").alias("j"))),
                 (1, blocks, F.col("ni"), (F.col("other").cast("long").alias("i"), F.pmod(own, F.col("nj")).alias("j"))),
             )
         ]
-        dealt = spread[0].union(spread[1]).withColumn("g", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(groups)))
+        dealt = spread[0].union(spread[1]).withColumn("g", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
         pairs = dealt.groupBy("g").applyInPandas(_tree_pairs(num, den), "a long, b long").distinct()
-        again = links.verify(materialize(pairs.join(star, ["a", "b"], "left_anti"), "pairs"))
+        again = links.verify(materialize(pairs.join(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"), "pairs"))
         found = materialize(found.union(again), "links")
         roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 

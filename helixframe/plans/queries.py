@@ -325,7 +325,7 @@ def depth_capped_mean(spark, sf_dir):
     return placement.capped_depth(placed(spark, sf_dir), 2).select("node", F.round("mean", 9).alias("mean"))
 
 
-_MARKS = "marks AS (SELECT user_id, (epoch(ts)::BIGINT // 60) AS t FROM events)"
+_MARKS = "marks AS (SELECT user_id, (epoch_ms(ts) // 60000) AS t FROM events)"
 
 
 def _marks(spark, sf_dir):

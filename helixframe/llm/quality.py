@@ -25,7 +25,7 @@ from helixframe.storage import materialize
 MIN_WORDS, MAX_LANGUAGES, COMMON = 50, 64, 100
 #: Distinct words that a task holds before it sends partial sums on.
 HELD_WORDS = 400_000
-CHAR_LIMIT, WORD_LIMIT = 0.35, 0.9
+CHAR_LIMIT, WORD_LIMIT = 0.25, 0.45
 SYMBOLS = b"#*$%&|<>"
 #: Classes of bytes: lower letters one by one, upper letters, digits, blanks, common punctuation, symbols, controls, lead bytes of other letters.
 CLASSES = 34

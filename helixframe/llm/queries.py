@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from helixframe.llm import langid, oracles, quality, url_filter, warc
 from helixframe.llm.decontaminate import find_leaks
 from helixframe.llm.line_dedup import dedup_lines
+from helixframe.llm.lm_score import score_texts
 from helixframe.llm.mixing import mix_sources
 from helixframe.llm.ngram_join import ngram_jaccard_components
+from helixframe.llm.suffix_dedup import remove_repeats
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -40,6 +42,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, keep=["doc_id"])
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = langid.fold("doc_id", 5) == 0
@@ -57,7 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_warc, op3_quality, op4_decontaminate, op5_mixing, op8_langid, op9_line_dedup, op10_url_filter)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_warc, op3_quality, op4_decontaminate, op5_mixing, op6_suffix_dedup, op7_lm_score, op8_langid, op9_line_dedup, op10_url_filter)
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": oracles.OP1,

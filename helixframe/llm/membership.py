@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,3 +31,13 @@ def bitmap_of(members: DataFrame, column: str) -> tuple[int, Broadcast]:
 def may_hold(bitmap: bytes, slots: np.ndarray) -> np.ndarray:
     raw = np.frombuffer(bitmap, np.uint8)
     return (raw[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def may_belong(column: Column, bits: int, bitmap: Broadcast) -> Column:
+    """Whether the bitmap holds a column's value; only its slots go to Python. False for null."""
+
+    @F.pandas_udf("boolean")
+    def test(slots: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bitmap.value, slots.to_numpy()))
+
+    return column.isNotNull() & test(slot_of(column, bits))

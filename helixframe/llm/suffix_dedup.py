@@ -13,9 +13,11 @@ of the first round are sampled so that nothing can be missed, ranks are
 2. Offset of the whole run, from the first window's start to the last one's
    end. Runs that agree there are repeated as a whole. A rank of round 1
    under which all runs agree needs nothing more.
-3. Offset LENGTH. Of the runs that agree at their anchor but not as a whole,
-   one of each kind is taken apart into its windows, whose ranks are sorted;
-   those met twice are repeated.
+3. Of the runs that agree at their anchor but not as a whole, one of each
+   kind is taken apart into shorter runs, whose starts lie in one step of
+   STEP bytes before the anchor, and round 2 is held over these.
+4. Offset LENGTH. What still differs is taken apart into its windows, whose
+   ranks are sorted; those met twice are repeated.
 
 Each task sorts and ranks its own rows first and sends at most two rows per
 anchor rank and one per window rank, so a passage that a third of all
@@ -33,15 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.membership import bitmap_of, may_belong
 from helixframe.llm.text import _BASE, _INVERSE, _VALUE, _power, bytes_of, chunks, mix
 from helixframe.storage import materialize
 
 LENGTH, GRAM = 200, 48
 PIECE = 1 << 20
+STEP = 12
 #: Rows that a task sorts before it sends them on, and that one sorting partition should get.
 BLOCK, PART = 400_000, 1_500_000
+#: Bytes of texts whose settled runs are put together by one task.
+BUCKET_BYTES = 24 << 20
 _SPOT = np.uint64((1 << 28) - 1)
-_SPANS = np.dtype([("p", "<u4"), ("span", "<u4")])
+#: A run: its first start, how many starts follow, and how far behind the first its anchor lies.
+_SPANS = np.dtype([("p", "<u4"), ("span", "<u2"), ("back", "<u2")])
 
 
 class Rolling:
@@ -73,7 +80,7 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text index, first start in the text, span, anchor rank, whole rank) of the runs of windows, piece by piece."""
+    """(text index, first start in the text, span, distance of the anchor, anchor rank, whole rank) of the runs of windows, piece by piece."""
     for s in range(0, max(0, len(data) - length + 1), PIECE):
         part = data[s : s + PIECE + length - 1]
         roll = Rolling(part)
@@ -92,22 +99,40 @@ def runs_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> Itera
         at = anchor[first]
         whole = mix(roll(p1, p2 + length) + (((at - p1) << 20) + (p2 - p1)).astype(np.uint64))
         text = owner[p1]
-        yield text, p1 + s - offs[text], p2 - p1, grams[at], whole
+        yield text, p1 + s - offs[text], p2 - p1, at - p1, grams[at], whole
 
 
-def _by_key(keys: np.ndarray, p: np.ndarray, span: np.ndarray, full: np.ndarray, taken: np.ndarray) -> list[tuple]:
-    """Rows (key, full spans, spans to take apart)."""
-    order = np.argsort(keys, kind="stable")
-    keys, full, taken = keys[order], full[order], taken[order]
-    spans = np.empty(len(keys), _SPANS)
-    spans["p"], spans["span"] = p[order], span[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
-    rows = []
-    for a, b in zip(first, np.append(first[1:], len(keys)), strict=True) if len(keys) else ():
-        x, y = spans[a:b][full[a:b]], spans[a:b][taken[a:b]]
-        if len(x) or len(y):
-            rows.append((int(keys[a]), x.tobytes(), y.tobytes()))
-    return rows
+#: A run that is settled: flags 1 repeated as a whole, 2 to be taken apart.
+_DONE = np.dtype([("key", "<i8"), ("p", "<u4"), ("span", "<u2"), ("back", "<u2"), ("flags", "u1")])
+
+
+def _done(rows: np.ndarray, flags: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Rows with flags as one blob per bucket of their keys."""
+    rows, flags = rows[flags > 0], flags[flags > 0]
+    out = np.empty(len(rows), _DONE)
+    for name in _DONE.names[:-1]:
+        out[name] = rows[name] if name in rows.dtype.names else 0
+    out["flags"] = flags
+    bucket = out["key"] % buckets
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return [(b, out[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+
+
+def _per_key(*flags: int):
+    """One row (key, a blob of spans for each flag) per text of a bucket that has any."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([np.frombuffer(x, _DONE) for x in pdf["rows"]])
+        rows = rows[(rows["flags"] & sum(flags)) > 0]
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])) if len(rows) else np.empty(0, np.int64)
+        spans = np.empty(len(rows), _SPANS)
+        for name in _SPANS.names:
+            spans[name] = rows[name]
+        return pd.DataFrame({"key": rows["key"][first], "spans": [spans[x:y].tobytes() for x, y in zip(first, np.append(first[1:], len(rows)), strict=True)]})
+
+    return run
 
 
 def _same_as_before(*columns: np.ndarray) -> np.ndarray:
@@ -118,24 +143,15 @@ def _same_as_before(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-_SENT = "part int, rows binary, key long, spans binary, apart binary"
-_RUN = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("key", "<i8"), ("p", "<u4"), ("span", "<u2"), ("flags", "u1")])
+_SENT = "part int, bucket int, rows binary"
+_RUN = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("key", "<i8"), ("p", "<u4"), ("span", "<u2"), ("back", "<u2"), ("flags", "u1")])
 _WINDOW = np.dtype([("rank", "<u8"), ("key", "<i8"), ("p", "<u4"), ("known", "u1")])
 
 
-def _batch(dealt: list[tuple[int, bytes]], done: list[tuple], parts: int) -> pa.RecordBatch:
-    """Rows to be sorted by others, and settled rows, which travel along to any partition."""
-    n, m = len(dealt), len(done)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([*(d[0] for d in dealt), *(d[0] % parts for d in done)], pa.int32()),
-            pa.array([*(d[1] for d in dealt), *[None] * m], pa.binary()),
-            pa.array([*[0] * n, *(d[0] for d in done)], pa.int64()),  # no null here: pandas would make the ids floats
-            pa.array([*[None] * n, *(d[1] for d in done)], pa.binary()),
-            pa.array([*[None] * n, *(d[2] for d in done)], pa.binary()),
-        ],
-        names=["part", "rows", "key", "spans", "apart"],
-    )
+def _batch(dealt: list[tuple[int, bytes]], done: list[tuple[int, bytes]], parts: int) -> pa.RecordBatch:
+    """Rows to be sorted by others (bucket -1), and settled rows, which travel along to any partition."""
+    rows = [(p, -1, x) for p, x in dealt] + [(b % parts, b, x) for b, x in done]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["part", "bucket", "rows"])
 
 
 def _deal(rows: np.ndarray, ranks: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
@@ -145,7 +161,7 @@ def _deal(rows: np.ndarray, ranks: np.ndarray, parts: int) -> list[tuple[int, by
     return [(p, rows[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
 
 
-def _local_runs(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+def _local_runs(rows: np.ndarray, parts: int, buckets: int) -> pa.RecordBatch:
     """Sort a task's runs; settle what it can, and send two kinds of each anchor rank at most."""
     rows = rows[np.lexsort((rows["whole"], rows["gram"]))]
     copy = _same_as_before(rows["gram"], rows["whole"])
@@ -165,50 +181,45 @@ def _local_runs(rows: np.ndarray, parts: int) -> pa.RecordBatch:
     sent = kinds[~third]
     settled = np.ones(len(rows), bool)
     settled[sent] = False
-    x = rows[settled]
-    done = _by_key(x["key"], x["p"], x["span"], (x["flags"] & 1) > 0, (x["flags"] & 2) > 0)
-    return _batch(_deal(rows[sent], rows["gram"][sent], parts), done, parts)
+    return _batch(_deal(rows[sent], rows["gram"][sent], parts), _done(rows[settled], rows["flags"][settled], buckets), parts)
 
 
-def _round_one(length: int, gram: int, parts: int):
+def _round_one(length: int, gram: int, parts: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
         for batch in chunks(batches):
             keys = batch["key"].to_numpy(zero_copy_only=False)
-            for text, p, span, rank, whole in runs_of(*bytes_of(batch["text"]), length, gram):
+            for text, p, span, back, rank, whole in runs_of(*bytes_of(batch["text"]), length, gram):
                 rows = np.empty(len(p), _RUN)
-                rows["gram"], rows["whole"], rows["key"], rows["p"], rows["span"] = rank, whole, keys[text], p, span
+                rows["gram"], rows["whole"], rows["key"], rows["p"], rows["span"], rows["back"] = rank, whole, keys[text], p, span, back
                 held.append(rows)
                 n += len(rows)
             if n >= BLOCK:
-                yield _local_runs(np.concatenate(held), parts)
+                yield _local_runs(np.concatenate(held), parts, buckets)
                 held, n = [], 0
         if n:
-            yield _local_runs(np.concatenate(held), parts)
+            yield _local_runs(np.concatenate(held), parts, buckets)
 
     return run
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({"key": pd.Series([r[0] for r in rows], dtype="int64"), "spans": pd.Series([r[1] for r in rows], dtype=object), "apart": pd.Series([r[2] for r in rows], dtype=object)})
-
-
-def _merge(settle, kind: np.dtype):
+def _merge(settle, kind: np.dtype, buckets: int):
     """settle for the rows of one partition, beside those that came settled."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ready = pdf["rows"].isna()
-        out = pdf.loc[ready, ["key", "spans", "apart"]]
+        ready = pdf["bucket"] >= 0
+        out = pdf.loc[ready, ["bucket", "rows"]]
         if not ready.all():
-            rows = np.concatenate([np.frombuffer(x, kind) for x in pdf.loc[~ready, "rows"]])
-            out = pd.concat([out, _frame(settle(rows))])
+            more = _done(*settle(np.concatenate([np.frombuffer(x, kind) for x in pdf.loc[~ready, "rows"]])), buckets)
+            out = pd.concat([out, pd.DataFrame({"bucket": pd.Series([m[0] for m in more], dtype="int32"), "rows": pd.Series([m[1] for m in more], dtype=object)})])
         return out
 
     return run
 
 
-def _merge_runs(rows: np.ndarray) -> list[tuple]:
+def _merge_runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a partition, sorted, and their flags."""
     rows = rows[np.lexsort((rows["whole"], rows["gram"]))]
     copy = _same_as_before(rows["gram"], rows["whole"])
     full = (rows["flags"] & 1) > 0
@@ -220,62 +231,101 @@ def _merge_runs(rows: np.ndarray) -> list[tuple]:
     several = again.copy()
     several[:-1] |= again[1:]
     taken[kinds] |= several
-    return _by_key(rows["key"], rows["p"], rows["span"], full, taken)
+    return rows, full + 2 * taken.astype(np.uint8)
 
 
-def _local_windows(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+def _local_windows(rows: np.ndarray, parts: int, buckets: int) -> pa.RecordBatch:
     rows = rows[np.argsort(rows["rank"], kind="stable")]
     copy = _same_as_before(rows["rank"])
     full = copy.copy()
     full[:-1] |= copy[1:]
     rows["known"] = full
-    x = rows[full]
-    done = _by_key(x["key"], x["p"], np.zeros(len(x), np.uint32), np.ones(len(x), bool), np.zeros(len(x), bool))
-    return _batch(_deal(rows[~copy], rows["rank"][~copy], parts), done, parts)
+    return _batch(_deal(rows[~copy], rows["rank"][~copy], parts), _done(rows, full.astype(np.uint8), buckets), parts)
 
 
-def _round_three(length: int, parts: int):
+def _stretches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """low[0] to high[0], low[1] to high[1] and so on, all ends included, on end."""
+    size = high - low + 1
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _in_pieces(own: np.ndarray, begin: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int, Rolling]]:
+    """Which of the places that begin at `begin` lie in each piece of a text, where the piece begins, and its hashes; it reaches `most` bytes beyond."""
+    for a in range(0, len(own), PIECE):
+        here = np.flatnonzero((begin >= a) & (begin < a + PIECE))
+        if len(here):
+            yield here, a, Rolling(own[a : a + PIECE + most])
+
+
+def _spans_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(key, text, spans to take apart) of each row."""
+    data, offs = bytes_of(batch["text"])
+    for i, (key, raw) in enumerate(zip(batch["key"].to_pylist(), batch["spans"].to_pylist(), strict=True)):
+        yield key, data[offs[i] : offs[i + 1]], np.frombuffer(raw, _SPANS)
+
+
+def _round_two(length: int, gram: int, parts: int, buckets: int):
+    """Runs cut at every STEP bytes before their anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
         for batch in chunks(batches):
-            data, offs = bytes_of(batch["text"])
-            for i, (key, lists) in enumerate(zip(batch["key"].to_pylist(), batch["apart"].to_pylist(), strict=True)):
-                spans = np.frombuffer(b"".join(lists), _SPANS)
-                if not len(spans):
-                    continue
-                own = data[offs[i] : offs[i + 1]]
-                size = spans["span"].astype(np.int64) + 1
-                p = np.repeat(spans["p"].astype(np.int64), size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            for key, own, spans in _spans_of(batch):
+                back = spans["back"].astype(np.int64)
+                anchor = spans["p"] + back
+                least = back - spans["span"]
+                low, high = least // STEP, back // STEP
+                step = _stretches(low, high)
+                of = np.repeat(np.arange(len(spans)), high - low + 1)
+                far, near = np.minimum(back[of], step * STEP + STEP - 1), np.maximum(least[of], step * STEP)
+                rows = np.empty(len(step), _RUN)
+                p1, p2 = anchor[of] - far, anchor[of] - near
+                for here, a, roll in _in_pieces(own, p1, 2 * length):
+                    x, y, z = p1[here] - a, p2[here] - a, anchor[of][here] - a
+                    rows["gram"][here] = mix(roll(z, z + gram) + step[here].astype(np.uint64))
+                    rows["whole"][here] = mix(roll(x, y + length) + ((far[here] << 20) + (y - x)).astype(np.uint64))
+                rows["key"], rows["p"], rows["span"], rows["back"] = key, p1, p2 - p1, far
+                held.append(rows)
+                n += len(rows)
+            if n >= BLOCK:
+                yield _local_runs(np.concatenate(held), parts, buckets)
+                held, n = [], 0
+        if n:
+            yield _local_runs(np.concatenate(held), parts, buckets)
+
+    return run
+
+
+def _round_three(length: int, parts: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for batch in chunks(batches):
+            for key, own, spans in _spans_of(batch):
+                first = spans["p"].astype(np.int64)
+                p = _stretches(first, first + spans["span"])
                 rows = np.empty(len(p), _WINDOW)
-                for a in range(0, len(own), PIECE):
-                    here = (p >= a) & (p < a + PIECE)
-                    if here.any():
-                        rows["rank"][here] = Rolling(own[a : a + PIECE + length])(p[here] - a, p[here] - a + length)
+                for here, a, roll in _in_pieces(own, p, length):
+                    rows["rank"][here] = roll(p[here] - a, p[here] - a + length)
                 rows["key"], rows["p"], rows["known"] = key, p, 0
                 held.append(rows)
                 n += len(rows)
-                if n >= 2 * BLOCK:
-                    yield _local_windows(np.concatenate(held), parts)
-                    held, n = [], 0
+            if n >= 2 * BLOCK:
+                yield _local_windows(np.concatenate(held), parts, buckets)
+                held, n = [], 0
         if n:
-            yield _local_windows(np.concatenate(held), parts)
+            yield _local_windows(np.concatenate(held), parts, buckets)
 
     return run
 
 
-def _merge_windows(rows: np.ndarray) -> list[tuple]:
+def _merge_windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows = rows[np.argsort(rows["rank"], kind="stable")]
     copy = _same_as_before(rows["rank"])
     full = copy.copy()
     full[:-1] |= copy[1:]
-    x = rows[full & (rows["known"] == 0)]
-    return _by_key(x["key"], x["p"], np.zeros(len(x), np.uint32), np.ones(len(x), bool), np.zeros(len(x), bool))
-
-
-def _settled(sent: DataFrame, settle, kind: np.dtype) -> DataFrame:
-    """key, spans, apart: what tasks settled alone and what the sorting partitions settle."""
-    return sent.groupBy("part").applyInPandas(_merge(settle, kind), "key long, spans binary, apart binary")
+    return rows, (full & (rows["known"] == 0)).astype(np.uint8)
 
 
 def _cut(length: int):
@@ -283,15 +333,15 @@ def _cut(length: int):
         for batch in chunks(batches):
             data, offs = bytes_of(batch["text"])
             out = []
-            for i, lists in enumerate(batch["spans"].to_pylist()):
+            for i, raw in enumerate(batch["spans"].to_pylist()):
                 own = data[offs[i] : offs[i + 1]]
-                spans = np.frombuffer(b"".join(lists or ()), _SPANS)
+                spans = np.frombuffer(raw or b"", _SPANS)
                 if not len(spans):
                     out.append((len(own), 0, 0, own.tobytes()))
                     continue
                 edge = np.zeros(len(own) + 1, np.int32)
                 np.add.at(edge, spans["p"], 1)
-                np.add.at(edge, spans["p"] + spans["span"] + length, -1)
+                np.add.at(edge, spans["p"].astype(np.int64) + spans["span"] + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 out.append((len(own), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), own[~gone].tobytes()))
             yield pa.RecordBatch.from_arrays(
@@ -314,11 +364,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     long = docs.where(F.octet_length("text") >= length)
     total = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, round(2 * total / (length - gram + 2) / PART))
-    runs = materialize(_settled(long.select("key", "text").mapInArrow(_round_one(length, gram, parts), _SENT), _merge_runs, _RUN), "runs")
-    apart = runs.where(F.length("apart") > 0).groupBy("key").agg(F.collect_list("apart").alias("apart"))
-    apart = materialize(apart, "apart")
-    wanted = apart.select(F.sum(F.aggregate("apart", F.lit(0).cast("long"), lambda x, y: x + F.length(y)))).first()[0] or 0
-    parts = max(1, round(wanted / 8 * (length - gram) / 2 / PART))
-    windows = materialize(_settled(long.select("key", "text").join(apart, "key").mapInArrow(_round_three(length, parts), _SENT), _merge_windows, _WINDOW), "windows")
-    spans = runs.select("key", "spans").union(windows.select("key", "spans")).where(F.length("spans") > 0).groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    buckets = max(1, round(total / BUCKET_BYTES))
+
+    def settled(sent: DataFrame, settle, kind: np.dtype) -> DataFrame:
+        return materialize(sent.groupBy("part").applyInPandas(_merge(settle, kind, buckets), "bucket int, rows binary"), "settled")
+
+    def apart(done: DataFrame) -> tuple[DataFrame, int]:
+        """Texts with the spans that a round leaves to be taken apart, and how many spans that are."""
+        spans = materialize(done.groupBy("bucket").applyInPandas(_per_key(2), "key long, spans binary"), "apart")
+        size = spans.agg(F.sum(F.length("spans"))).first()[0] or 0
+        bits, bitmap = bitmap_of(spans, "key")
+        return long.select("key", "text").where(may_belong(F.col("key"), bits, bitmap)).join(spans, "key"), size // _SPANS.itemsize
+
+    first = settled(long.select("key", "text").mapInArrow(_round_one(length, gram, parts, buckets), _SENT), _merge_runs, _RUN)
+    left, size = apart(first)
+    parts = max(1, round(size * (length - gram) / 2 / STEP / PART))
+    second = settled(left.mapInArrow(_round_two(length, gram, parts, buckets), _SENT), _merge_runs, _RUN)
+    left, size = apart(second)
+    parts = max(1, round(size * STEP / PART))
+    third = settled(left.mapInArrow(_round_three(length, parts, buckets), _SENT), _merge_windows, _WINDOW)
+    spans = materialize(first.union(second).union(third).groupBy("bucket").applyInPandas(_per_key(1), "key long, spans binary"), "spans")
+    bits, bitmap = bitmap_of(spans, "key")
+    touched = may_belong(F.col("key"), bits, bitmap)
+    whole = docs.where(~touched).select("doc_id", "text", F.lit(None).cast("binary").alias("spans"))
+    cut = docs.where(touched).join(spans, "key", "left").select("doc_id", "text", "spans")
+    return whole.union(cut).mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

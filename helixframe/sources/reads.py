@@ -139,7 +139,7 @@ def _parse_dump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_graph_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges (src, dst, drxn, ol, leap) of a graph dump in text."""
-    blocks = spark.read.option("lineSep", "NODE=").text(path).where("trim(value) <> ''").select(F.concat(F.lit("NODE="), "value").alias("value"))
+    blocks = spark.read.option("lineSep", "NODE=").text(path).where("value rlike '^[0-9]'").select(F.concat(F.lit("NODE="), "value").alias("value"))
     nodes = blocks.mapInArrow(_parse_dump, _NODE)
     line = spark.read.text(path).where("value like 'EDGES=%'").select(F.explode(F.split(F.expr("substring(value, 7)"), ",")).alias("e")).where("e <> ''")
     f = F.split("e", "_")

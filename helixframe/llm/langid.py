@@ -29,7 +29,10 @@ BUCKETS, DIMS = 1 << 16, 16
 SIZES = (2, 3, 4)
 SAMPLE_ROWS, WINDOWS, WINDOW_WORDS, MAX_LANGUAGES = 6000, 2, 24, 200
 EPOCHS, BATCH, RATE = 6, 64, 0.5
-REJECT = 0.002
+#: Step sizes of the softmax and of table rows against RATE, and the most that a row moves in a step.
+TOP_STEP, ROW_STEP, MOST_STEP = 3.0, 5.0, 1.0
+#: Share of held-back windows under the threshold, and the highest threshold there may be: close to a guess.
+REJECT, HIGHEST = 0.002, 0.35
 UNKNOWN = "und"
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,12 +145,12 @@ def fit(examples: list[tuple[str, str]], seed: int = 1) -> Model:
             error = _softmax(hidden @ top + bias)
             error[np.arange(len(own)), want[own]] -= 1
             back = (error @ top.T) / size[:, None]
-            top -= rate * hidden.T @ error
+            top -= TOP_STEP * rate * hidden.T @ error / len(own)
             bias -= rate * error.mean(axis=0)
             order = np.argsort(flat, kind="stable")
             ids, first = np.unique(flat[order], return_index=True)
-            # a mean over thousands of subwords moves each row little, so rows take larger steps than the softmax
-            table[ids] -= (rate * 20 * np.add.reduceat(np.repeat(back, size, axis=0)[order], first, axis=0)).astype(np.float32)
+            moved = ROW_STEP * rate * np.add.reduceat(np.repeat(back, size, axis=0)[order], first, axis=0)
+            table[ids] -= moved.clip(-MOST_STEP, MOST_STEP).astype(np.float32)
     folded = table.astype(np.float64) @ top
     raw = np.array([folded[rows[i]].mean(axis=0) for i in held]) + bias
     truth = want[held]
@@ -155,7 +158,7 @@ def fit(examples: list[tuple[str, str]], seed: int = 1) -> Model:
     loss = [-np.log(np.maximum(_softmax(raw * t)[np.arange(len(held)), truth], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     score = np.sort(_softmax(raw * temperature).max(axis=1))
-    threshold = float(min(score[int(REJECT * len(score))], 0.5))
+    threshold = float(min(score[int(REJECT * len(score))], HIGHEST))
     return Model(languages, folded, bias, temperature, threshold)
 
 

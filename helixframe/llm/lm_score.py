@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.text import bytes_of, chunks, mix, word_hashes
 from helixframe.storage import materialize
 
-BLOCK_BYTES, PART = 8 << 20, 2_000_000
+BLOCK_BYTES, PART = 6 << 20, 1_000_000
 BUCKETS, LEVELS, ROUNDS = 24, 60, 40
 END = np.uint64(0x656E64206F662074)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -66,11 +66,23 @@ def unpack(raw: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.decompress(raw)).read_all().combine_chunks()
 
 
+def _hashed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a block's texts and where texts begin, a few megabytes of text at a time."""
+    hashes, at = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    done = 0
+    for batch in chunks(rows.select(["text"]).to_batches()):
+        h, a = word_hashes(*bytes_of(batch["text"]))
+        hashes.append(h)
+        at.append(a[1:] + done)
+        done += len(h)
+    return np.concatenate(hashes), np.concatenate(at)
+
+
 class Tokens:
     """The tokens of a block of texts, an end after each, and their distinct unigrams and bigrams dealt over parts."""
 
     def __init__(self, rows: pa.Table, parts: int):
-        words, at = word_hashes(*bytes_of(rows["text"]))
+        words, at = _hashed(rows)
         n = len(at) - 1
         ends = at[1:] + np.arange(n)
         self.tokens = np.empty(len(words) + n, np.uint64)
@@ -96,16 +108,35 @@ class Tokens:
         return found[order], place[inverse], np.searchsorted(part[order], np.arange(self.parts + 1))
 
 
-def _short(keys: np.ndarray) -> tuple[bytes, bytes]:
-    """40 bits of a bigram's hash; with the part, whose number grows with the corpus, they tell bigrams apart."""
-    return (keys >> np.uint64(24)).astype("<u4").tobytes(), (keys >> np.uint64(56)).astype("u1").tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as one byte with the number of bytes that the largest needs, then all lowest bytes, all next and so on; planes of zeros compress away."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(raw.T).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _rising(keys: np.ndarray) -> bytes:
+    """Sorted keys as planes of their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(raw), dtype=np.uint64)
 
 
-def _long(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, "<u4").astype(np.uint64) | (np.frombuffer(high, "u1").astype(np.uint64) << np.uint64(32))
+#: 40 bits of a bigram's hash travel; with the part, whose number grows with the corpus, they tell bigrams apart.
+_CUT = np.uint64(24)
 
 
-_REQUEST = "part int, block long, one binary, one_n binary, one_h binary, two_low binary, two_high binary, two_n binary, two_h binary"
+_REQUEST = "part int, block long, one binary, one_n binary, one_h binary, two binary, two_n binary, two_h binary"
 
 
 def _ask(parts: int):
@@ -117,15 +148,14 @@ def _ask(parts: int):
                 rows = unpack(raw.as_buffer())
                 t = Tokens(rows, parts)
                 part = rows["part"].to_numpy()[t.doc]
-                counts = [np.bincount(at[part == v], minlength=len(keys)).astype("<u4") for keys, at in ((t.one, t.one_at), (t.two, t.two_at)) for v in (0, 1)]
+                counts = [np.bincount(at[part == v], minlength=len(keys))for keys, at in ((t.one, t.one_at), (t.two, t.two_at)) for v in (0, 1)]
                 out = []
                 for p in range(parts):
                     a, b, c, d = *t.one_cut[p : p + 2], *t.two_cut[p : p + 2]
                     if b > a or d > c:
-                        low, high = _short(t.two[c:d])
-                        out.append((p, block, t.one[a:b].tobytes(), counts[0][a:b].tobytes(), counts[1][a:b].tobytes(), low, high, counts[2][c:d].tobytes(), counts[3][c:d].tobytes()))
+                        out.append((p, block, _rising(t.one[a:b]), *(_planes(x[a:b]) for x in counts[:2]), _rising(t.two[c:d] >> _CUT), *(_planes(x[c:d]) for x in counts[2:])))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64()] + [pa.binary()] * 7, strict=True)], names=[f.split()[0] for f in _REQUEST.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64()] + [pa.binary()] * 6, strict=True)], names=[f.split()[0] for f in _REQUEST.split(", ")])
 
     return run
 
@@ -136,27 +166,26 @@ _REPLY = "block long, part int, one binary, two binary, one_h binary, two_h bina
 def _summed(keys: list[np.ndarray], n: list[bytes], h: list[bytes]) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
     """For each block the counts over all blocks: of all training documents for all keys, and without the held-out part for keys that the block has there."""
     every = np.concatenate(keys)
-    own_n, own_h = (np.concatenate([np.frombuffer(x, "<u4") for x in y]).astype(np.int64) for y in (n, h))
+    own_n, own_h = (np.concatenate([_numbers(x) for x in y]).astype(np.int64) for y in (n, h))
     found, inverse = np.unique(every, return_inverse=True)
     model = np.bincount(inverse, weights=own_n, minlength=len(found)).astype(np.int64)
     total = model + np.bincount(inverse, weights=own_h, minlength=len(found)).astype(np.int64)
     cut = np.cumsum([len(k) for k in keys])[:-1]
-    clip = (1 << 32) - 1
-    whole = [np.minimum(x, clip).astype("<u4").tobytes() for x in np.split(total[inverse], cut)]
-    held = [np.minimum(x[y > 0], clip).astype("<u4").tobytes() for x, y in zip(np.split(model[inverse], cut), np.split(own_h, cut), strict=True)]
+    whole = [_planes(x) for x in np.split(total[inverse], cut)]
+    held = [_planes(x[y > 0]) for x, y in zip(np.split(model[inverse], cut), np.split(own_h, cut), strict=True)]
     return whole, held, total, model
 
 
 def _reply(pdf: pd.DataFrame) -> pd.DataFrame:
-    one, one_h, total, model = _summed([np.frombuffer(x, np.uint64) for x in pdf["one"]], list(pdf["one_n"]), list(pdf["one_h"]))
-    two, two_h, _, _ = _summed([_long(a, b) for a, b in zip(pdf["two_low"], pdf["two_high"], strict=True)], list(pdf["two_n"]), list(pdf["two_h"]))
+    one, one_h, total, model = _summed([_risen(x) for x in pdf["one"]], list(pdf["one_n"]), list(pdf["one_h"]))
+    two, two_h, _, _ = _summed([_risen(x) for x in pdf["two"]], list(pdf["two_n"]), list(pdf["two_h"]))
     out = pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "one": one, "two": two, "one_h": one_h, "two_h": two_h, "tokens": 0, "words": 0, "tokens_h": 0, "words_h": 0})
     out.iloc[0, 6:] = [int(total.sum()), int((total > 0).sum()), int(model.sum()), int((model > 0).sum())]
     return out.astype({"block": "int64", "part": "int32", "tokens": "int64", "words": "int64", "tokens_h": "int64", "words_h": "int64"})
 
 
 def _counts(replies: pd.DataFrame, column: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, "<u4") for x in replies.sort_values("part")[column]] or [np.empty(0, "<u4")]).astype(np.float64)
+    return np.concatenate([_numbers(x) for x in replies.sort_values("part")[column]] or [np.empty(0)]).astype(np.float64)
 
 
 def _estimates(t: Tokens, one: np.ndarray, two: np.ndarray, total: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:

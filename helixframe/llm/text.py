@@ -38,7 +38,7 @@ def _power(base: int, n: int) -> np.ndarray:
             take = min(done, size - done)
             have[done : done + take] = have[:take] * np.uint64(pow(base, done, 1 << 64))
             done += take
-        if size <= 8 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _powers[base] = have
     return have
 

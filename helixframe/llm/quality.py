@@ -26,6 +26,8 @@ MIN_WORDS, MAX_LANGUAGES, COMMON = 50, 64, 100
 #: Distinct words that a task holds before it sends partial sums on.
 HELD_WORDS = 400_000
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.45
+#: A document of n words may be farther by these over n: histograms of few words scatter.
+CHAR_SLACK, WORD_SLACK = 6.0, 0.4
 SYMBOLS = b"#*$%&|<>"
 #: Classes of bytes: lower letters one by one, upper letters, digits, blanks, common punctuation, symbols, controls, lead bytes of other letters.
 CLASSES = 34
@@ -179,7 +181,7 @@ def _judge(refs):
                 repeat = repeated_positions(hashes[at[i] : at[i + 1]])
                 failed = n < 10 or 100 * repeat > 20 * n
                 chars, words = refs.value.distances(counts[i], low[a:b], n) if n >= MIN_WORDS else (0.0, 0.0)
-                kept = not failed and chars <= CHAR_LIMIT and words <= WORD_LIMIT
+                kept = not failed and (n < MIN_WORDS or (chars <= CHAR_LIMIT + CHAR_SLACK / n and words <= WORD_LIMIT + WORD_SLACK / n))
                 rows.append((n, int(points[b] - points[a]), int(symbols[b] - symbols[a]), duplicate_lines(raw[a:b]), repeat, failed, kept, chars, words))
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=_NAMES)

@@ -19,15 +19,14 @@ from helixframe.storage import materialize
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; a null text, one without a letter or an unsure prediction goes."""
-    model = langid.train(docs, F.lit(True))
-    return langid.identify(docs, model, docs.columns).where(~F.col("rejected")).select(docs.columns)
+    return langid.keep_recognised(docs, langid.train(docs, F.lit(True)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; those with nothing left go. n_chars follows the text."""
-    cut = dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    cut = dedup_lines(docs, ("__n_lines", "__n_removed")).where("__n_removed = 0 or __n_removed < __n_lines")
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(docs.columns)
 
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from helixframe.llm.text import LOWER, SPACE, bytes_of, chunks, mix
 
@@ -186,28 +187,42 @@ def train(docs: DataFrame, usable: Column) -> Model:
     return fit([(r["text"], r["lang"]) for r in sample.mapInArrow(_cut, "text string, lang string").collect()])
 
 
+_ADDED = ("lang_pred", "score", "rejected")
+
+
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, most=1 << 20):
-            names, score, rejected = model.value.predict(batch["text"])
-            own = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+        for batch in chunks(batches, "__text", most=1 << 20):
+            names, score, rejected = model.value.predict(batch["__text"])
+            own = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[:-1], *(f"__{c}" for c in _ADDED)])
 
     return run
 
 
+def _judged(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns keep with __lang_pred, __score and __rejected."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("__lang_pred", StringType()), StructField("__score", DoubleType()), StructField("__rejected", BooleanType())])
+    return rows.mapInArrow(_predict(sent), schema)
+
+
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns keep of docs with lang_pred, score and rejected.
 
     A null text or one without a letter is `und` with score 0 and rejected.
     Empty tables give empty results; repeated rows are judged alike. docs may
-    have any other columns; keep must not contain the added names.
+    have any other columns; those of keep named like the added ones are
+    replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [*(c for c in keep if c != "text"), "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(cols).schema)
-    out = docs.select(cols).mapInArrow(_predict(sent), f"{fields}, lang_pred string, score double, rejected boolean")
-    return out.select(*keep, "lang_pred", "score", "rejected")
+    keep = [c for c in keep if c.lower() not in _ADDED]
+    return _judged(docs, model, keep).select(*keep, *(F.col(f"__{c}").alias(c) for c in _ADDED))
+
+
+def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """docs, all columns, without the rejected rows."""
+    return _judged(docs, model, docs.columns).where(~F.col("__rejected")).select(docs.columns)
 
 
 def fold(column: str, parts: int) -> Column:

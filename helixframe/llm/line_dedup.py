@@ -44,15 +44,15 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "of", merged.alias("covered"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text cut down, and n_lines and n_removed (long) appended.
+def dedup_lines(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with text cut down, and n_lines and n_removed (long) appended under the names added.
 
     Rows with a null doc_id or text, and texts of fewer than three worded
     lines, stay as they are. Rows that repeat doc_id and text are one
     document: they get the same result. Columns of docs named like the added
     ones are replaced; others, whatever their names, are kept.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if c.lower() not in added]
     covered = covered_lines(docs.select(F.col("doc_id"), F.col("text"))).select(F.col("doc_id").alias("__id"), F.col("of").alias("__of"), F.col("covered").alias("__covered"))
     joined = docs.select(columns).join(covered, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__of")), "left")
     worded = F.coalesce(_worded(F.col("text")), F.array().cast("array<struct<i:int,x:string>>"))
@@ -62,6 +62,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return joined.withColumn("__w", worded).select(
         *(text.alias("text") if c == "text" else F.col(c) for c in columns),
-        F.size("__w").cast("long").alias("n_lines"),
-        F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).cast("long").alias("n_removed"),
+        F.size("__w").cast("long").alias(added[0]),
+        F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).cast("long").alias(added[1]),
     )

@@ -88,7 +88,7 @@ def plan_sources(keyed: DataFrame, weights: tuple[int, ...], share: float, most:
     e, t = ends.alias("e"), last.alias("t")
     cut = e.join(t, F.col("e.source").eqNullSafe(F.col("t.source")), "left").select(F.col("e.source").alias("source"), "bucket", "last")
     c = cut.alias("c")
-    plan = a.join(c, F.col("a.source").eqNullSafe(F.col("c.source")), "left").select(F.col("a.source").alias("__source"), "source_size", "target", "epochs", "bucket", "last")
+    plan = a.join(c, F.col("a.source").eqNullSafe(F.col("c.source")), "left").select(F.col("a.source").alias("__source"), *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "epochs", "last")), F.col("bucket").alias("__end"))
     return materialize(plan, "mix-plan")
 
 
@@ -105,12 +105,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     own size threshold.
     """
     added = ("size", "source_size", "target", "taken")
-    keep = [c for c in keep or docs.columns if c not in added]
+    keep = [c for c in keep or docs.columns if c.lower() not in added]
     needed = list(dict.fromkeys([*keep, "doc_id", "text", "source"]))
     keyed = _keyed(docs.select(needed), seed)
     plan = plan_sources(keyed, weights, share, most)
-    chosen = (F.col("__bucket") < F.col("bucket")) | ((F.col("__bucket") == F.col("bucket")) & (F.struct("__key", "__id", "__size") <= F.col("last")))
+    chosen = (F.col("__bucket") < F.col("__end")) | ((F.col("__bucket") == F.col("__end")) & (F.struct("__key", "__id", "__size") <= F.col("__last")))
     extra = F.when(F.coalesce(chosen, F.lit(False)), F.col("__size")).otherwise(0)
     return keyed.join(plan, F.col("source").eqNullSafe(F.col("__source"))).select(
-        *keep, F.col("__size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("__size") + extra).cast("long").alias("taken")
+        *keep, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__epochs") * F.col("__size") + extra).cast("long").alias("taken")
     )

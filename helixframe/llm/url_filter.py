@@ -56,7 +56,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", keep:
     as many as the longest path has characters, come to the driver.
     """
     added = ("host", "path", "rule", "verdict")
-    keep = [c for c in keep or pages.columns if c not in added]
+    keep = [c for c in keep or pages.columns if c.lower() not in added]
     rules = rules.where("host is not null and path is not null and action is not null").select("host", "path", "action").distinct()
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
 

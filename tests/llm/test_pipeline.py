@@ -65,10 +65,12 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
 
 
 def test_stages_return_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("node", F.lit(1)).withColumn("size", F.lit("x"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.lit("x") for c in ("node", "size", "score", "rejected", "n_lines", "n_removed", "epochs", "bucket", "last", "key", "covered", "slot", "component_id", "item_id", "of")})
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "decontaminate", "mix"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and out.limit(1).count() == 1, name
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert last.where("epochs = 'x' and size > 0").count() == last.count() > 0

@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"{_KEY} must name a folder that all executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="helixframe-"))

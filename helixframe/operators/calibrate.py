@@ -70,14 +70,14 @@ def weighted_point(rows: DataFrame, value: str, weight: str, share: float) -> Da
     """The first value, ascending, at which the cumulative weight reaches share of the total. Equal values are one row."""
     per = rows.groupBy(value).agg(F.sum(weight).alias("w"))
     upto = F.sum("w").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return per.withColumn("upto", upto).crossJoin(F.broadcast(per.agg(F.sum("w").alias("total")))).where(F.col("upto") >= F.col("total") * share).agg(F.min(value).alias(value))
+    return per.withColumn("upto", upto).withColumn("total", F.sum("w").over(Window.partitionBy())).where(F.col("upto") >= F.col("total") * share).agg(F.min(value).alias(value))
 
 
 def weighted_mean_top(rows: DataFrame, value: str, weight: str, share: float = 0.75) -> DataFrame:
     """Weighted mean of the rows in descending order of value down to and with the one at which share of the weight is reached."""
     per = rows.groupBy(value).agg(F.sum(weight).alias("w"))
     before = F.coalesce(F.sum("w").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = per.withColumn("before", before).crossJoin(F.broadcast(per.agg(F.sum("w").alias("total")))).where(F.col("before") < F.col("total") * share)
+    kept = per.withColumn("before", before).withColumn("total", F.sum("w").over(Window.partitionBy())).where(F.col("before") < F.col("total") * share)
     return kept.agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("mean"))
 
 
@@ -86,5 +86,5 @@ def n50(lengths: DataFrame, value: str, ascending: bool) -> DataFrame:
     per = lengths.groupBy(value).agg(F.sum(value).alias("w"))
     order = F.col(value) if ascending else F.desc(value)
     upto = F.sum("w").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    hit = per.withColumn("upto", upto).crossJoin(F.broadcast(per.agg(F.sum("w").alias("total")))).where(F.col("upto") * 2 >= F.col("total"))
+    hit = per.withColumn("upto", upto).withColumn("total", F.sum("w").over(Window.partitionBy())).where(F.col("upto") * 2 >= F.col("total"))
     return hit.agg((F.min if ascending else F.max)(value).alias("n50"))

@@ -42,6 +42,8 @@ from helixframe.operators.components import connected_components
 from helixframe.storage import materialize
 
 GROUPS = 64
+#: Most groups of the vectors that trees search.
+MIDDLE = 256
 #: Most groups of a fine vector, whose number follows the set's size. Vectors fold, so any two can be compared.
 FINE = 4096
 #: Counters of the frequency sketch and slices in which it is summed: 2 MB at most on the driver.
@@ -66,11 +68,11 @@ def _packed(counts: np.ndarray) -> bytes:
     return bytes([len(counts).bit_length() - 1, width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def count_vectors(members: np.ndarray) -> tuple[bytes, bytes]:
-    """The counts of a set in GROUPS groups, and in about as many groups as it has members."""
+def count_vectors(members: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The counts of a set in GROUPS groups, and in about as many groups as it has members: at most MIDDLE, at most FINE."""
     groups = min(max(GROUPS, 1 << len(members).bit_length()), FINE)
     fine = np.bincount((members >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
-    return _packed(fine.reshape(-1, GROUPS).sum(axis=0)), _packed(fine)
+    return _packed(fine.reshape(-1, GROUPS).sum(axis=0)), _packed(fine.reshape(-1, min(groups, MIDDLE)).sum(axis=0)), _packed(fine)
 
 
 def point(raw: bytes) -> np.ndarray:
@@ -88,31 +90,32 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - (n * num + den - 1) // den + 1
 
 
+_DESCRIBED = ["doc_id", "n", "node", "point", "middle", "fine", "slice", "counts"]
+
+
 def _describe(k: int):
     """Per document its node, size and point; per task slices of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
         for batch in chunks(batches):
-            nodes, sizes, points, fines = [], [], [], []
+            nodes, sizes, vectors = [], [], []
             every = []
             for members in shingle_sets(batch["text"], k):
                 sizes.append(len(members))
                 nodes.append(node_of(members) if len(members) else None)
-                coarse, fine = count_vectors(members) if len(members) else (None, None)
-                points.append(coarse)
-                fines.append(fine)
+                vectors.append(count_vectors(members) if len(members) else (None, None, None))
                 every.append(members)
             sketch += np.bincount((np.concatenate(every) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.array(fines, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n", "node", "point", "fine", "slice", "counts"],
+                [batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array([v[i] for v in vectors], pa.binary()) for i in range(3)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=_DESCRIBED,
             )
         parts = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in np.split(sketch, SLICES)]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())],
-            names=["doc_id", "n", "node", "point", "fine", "slice", "counts"],
+            [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), *[pa.nulls(SLICES, pa.binary())] * 3, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())],
+            names=_DESCRIBED,
         )
 
     return run
@@ -249,38 +252,51 @@ class RTree:
         return self.order[at[hit]]
 
 
-def _cross_pairs(nodes: np.ndarray, roots: np.ndarray, points: np.ndarray, sizes: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Of one cell's two blocks (side 0 and 1) the pairs of two components that the bound lets through, as rows (a, b)."""
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+def _cross_pairs(nodes: np.ndarray, roots: np.ndarray, points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of pairs of a left and a right point of two components that the bound lets through."""
     if len(left) * len(right) <= 4096:
         most = np.minimum(points[left][:, None], points[right][None]).sum(axis=2)
         hit = ((num + den) * most >= num * (sizes[left][:, None] + sizes[right][None])) & (roots[left][:, None] != roots[right][None])
         x, y = np.nonzero(hit)
-        a, b = nodes[left[x]], nodes[right[y]]
-    else:
-        tree = RTree(points[right], sizes[right])
-        found = [tree.search(points[i], int(sizes[i]), num, den) for i in left]
-        a = nodes[np.repeat(left, [len(f) for f in found])]
-        at = right[np.concatenate(found)]
-        apart = np.repeat(roots[left], [len(f) for f in found]) != roots[at]
-        a, b = a[apart], nodes[at][apart]
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return left[x], right[y]
+    tree = RTree(points[right], sizes[right])
+    found = [tree.search(points[i], int(sizes[i]), num, den) for i in left]
+    a, b = np.repeat(left, [len(f) for f in found]), right[np.concatenate(found)]
+    apart = roots[a] != roots[b]
+    return a[apart], b[apart]
 
 
 def _tree_pairs(num: int, den: int):
-    """The pairs of all block pairs that were dealt to one group."""
+    """Of all cells and block pairs that were dealt to one group the pairs that coarse and then finer vectors let through.
+
+    A small cell comes as one block (side 2), a large one as pairs of blocks
+    (side 0 with ends outside the largest component, side 1 with all).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pivot", "i", "j"], kind="stable")
         where = pdf[["pivot", "i", "j"]].to_numpy()
         first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1)]))
-        points = np.stack([point(x) for x in pdf["point"]])
-        nodes, roots, sizes, side = (pdf[c].to_numpy() for c in ("node", "root", "n", "side"))
-        out = [np.empty((0, 2), np.int64)]
-        for a, b in zip(first, np.append(first[1:], len(pdf)), strict=True):
-            out.append(_cross_pairs(nodes[a:b], roots[a:b], points[a:b], sizes[a:b], side[a:b], num, den))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+        finer = [point(x) for x in pdf["middle"]]
+        points = np.stack([x.reshape(-1, GROUPS).sum(axis=0) for x in finer])
+        nodes, roots, sizes, side, minor = (pdf[c].to_numpy() for c in ("node", "root", "n", "side", "minor"))
+        out: set[tuple[int, int]] = set()
+        for begin, end in zip(first, np.append(first[1:], len(pdf)), strict=True):
+            own = slice(begin, end)
+            left, right = np.flatnonzero((side[own] != 1) & minor[own]), np.flatnonzero(side[own] != 0)
+            if not len(left) or not len(right):
+                continue
+            for x, y in zip(*_cross_pairs(nodes[own], roots[own], points[own], sizes[own], left, right, num, den), strict=True):
+                x, y = begin + x, begin + y
+                pair = (int(min(nodes[x], nodes[y])), int(max(nodes[x], nodes[y])))
+                if pair not in out:
+                    a, b = finer[x], finer[y]
+                    n = min(len(a), len(b))
+                    most = np.minimum(a.reshape(-1, n).sum(axis=0), b.reshape(-1, n).sum(axis=0)).sum()
+                    if (num + den) * most >= num * (sizes[x] + sizes[y]):
+                        out.add(pair)
+        found = sorted(out)
+        return pd.DataFrame({"a": pd.Series([p[0] for p in found], dtype="int64"), "b": pd.Series([p[1] for p in found], dtype="int64")})
 
     return run
 
@@ -328,9 +344,11 @@ class _Links:
             .mapInPandas(_bounded(self.num, self.den), "a long, b long")
         )
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that the coarse vectors, the fine ones and then the sets confirm. Of texts only those of the pairs' nodes are read again."""
-        near = materialize(self._within(materialize(self._within(pairs, "point"), "near"), "fine"), "near")
+    def verify(self, pairs: DataFrame, *vectors: str) -> DataFrame:
+        """Pairs that the named vectors and then the sets confirm. Of texts only those of the pairs' nodes are read again."""
+        near = pairs
+        for column in vectors:
+            near = materialize(self._within(near, column), "near")
         wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(self.nodes.select("node", "doc_id"), "node")
         wanted = materialize(wanted, "wanted")
         bits, bitmap = bitmap_of(wanted, "doc_id")
@@ -360,9 +378,9 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(docs.mapInArrow(_describe(k), "doc_id long, n long, node long, point binary, fine binary, slice int, counts binary"), "described")
-    each = described.where("slice is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "point", "fine")
-    nodes = materialize(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine")), "nodes")
+    described = materialize(docs.mapInArrow(_describe(k), "doc_id long, n long, node long, point binary, middle binary, fine binary, slice int, counts binary"), "described")
+    each = described.where("slice is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "point", "middle", "fine")
+    nodes = materialize(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in ("point", "middle", "fine"))), "nodes")
 
     classes = spark.sparkContext.broadcast(_frequency_class(described))
     total = nodes.agg(F.sum("n")).first()[0] or 0
@@ -373,7 +391,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int
     star = materialize(cells.where("lead and node <> pivot").select("node", "pivot").union(more).distinct(), "star")
 
     links = _Links(docs, nodes, k, num, den)
-    found = materialize(links.verify(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "links")
+    found = materialize(links.verify(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "point", "fine"), "links")
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # the cells of one pivot together; where all ended in one component, or none is left beside the pivot, nothing is open
@@ -382,20 +400,23 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int
     sizes = rows.groupBy("pivot", "root").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("most"))
     # a pair of two components has an end outside the largest one
     sizes = sizes.where("every > 2 and every > most.c").select("pivot", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj"))
-    blocks = materialize(rows.join(sizes, "pivot").join(nodes.select("node", "n", "point"), "node"), "cell-rows")
+    blocks = rows.join(sizes, "pivot").join(nodes.select("node", "n", "middle"), "node")
+    blocks = materialize(blocks.withColumn("minor", F.col("root") != F.col("main")), "cell-rows")
     groups = -(-blocks.count() // CELL_ROWS)
     if groups:
-        own = F.xxhash64("node")
+        own, zero = F.xxhash64("node"), F.lit(0).cast("long")
+        large = blocks.where("nj > 1")
         spread = [
-            part.withColumn("side", F.lit(side)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1))).select("pivot", *i_j, "side", "node", "root", "n", "point")
+            part.withColumn("side", F.lit(side)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1))).select("pivot", *i_j, "side", "minor", "node", "root", "n", "middle")
             for side, part, other, i_j in (
-                (0, blocks.where("root <> main"), F.col("nj"), (F.pmod(own, F.col("ni")).alias("i"), F.col("other").cast("long").alias("j"))),
-                (1, blocks, F.col("ni"), (F.col("other").cast("long").alias("i"), F.pmod(own, F.col("nj")).alias("j"))),
+                (0, large.where("minor"), F.col("nj"), (F.pmod(own, F.col("ni")).alias("i"), F.col("other").cast("long").alias("j"))),
+                (1, large, F.col("ni"), (F.col("other").cast("long").alias("i"), F.pmod(own, F.col("nj")).alias("j"))),
+                (2, blocks.where("nj = 1"), F.lit(1), (zero.alias("i"), zero.alias("j"))),
             )
         ]
-        dealt = spread[0].union(spread[1]).withColumn("g", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
+        dealt = spread[0].union(spread[1]).union(spread[2]).withColumn("g", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
         pairs = dealt.groupBy("g").applyInPandas(_tree_pairs(num, den), "a long, b long").distinct()
-        again = links.verify(materialize(pairs.join(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"), "pairs"))
+        again = links.verify(materialize(pairs.join(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"), "pairs"), "fine")
         found = materialize(found.union(again), "links")
         roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 

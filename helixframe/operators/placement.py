@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import mate_id
-from helixframe.params import RELIABLE_READS, VERIFIED_HITS
+from helixframe.params import MAX_LIBRARIES, RELIABLE_READS, VERIFIED_HITS
 
 
 def redundant(placed: DataFrame, bin_size: int = 128) -> DataFrame:
@@ -66,9 +66,11 @@ def is_multi_copy(coverage: Column, length: Column, read_length: int, cover: flo
 
 
 def library_of(reads: DataFrame, libraries: DataFrame) -> DataFrame:
-    """reads (read_id) with the library whose [begin_id, end_id) holds them; null outside all. libraries has a handful of rows, at most MAX_LIBRARIES by the source's check."""
-    l = libraries.select("lib_id", "begin_id", "end_id", "orientation", "insert_size")
-    return reads.join(F.broadcast(l.limit(64)), (F.col("read_id") >= F.col("begin_id")) & (F.col("read_id") < F.col("end_id")), "left").drop("begin_id", "end_id")
+    """reads (read_id) with the library whose [begin_id, end_id) holds them; null outside all. More libraries than a run may have are an error, so the broadcast is of a few rows."""
+    rows = libraries.select("lib_id", "begin_id", "end_id", "orientation", "insert_size")
+    if rows.count() > 2 * MAX_LIBRARIES:
+        raise ValueError(f"more than {2 * MAX_LIBRARIES} libraries")
+    return reads.join(F.broadcast(rows), (F.col("read_id") >= F.col("begin_id")) & (F.col("read_id") < F.col("end_id")), "left").drop("begin_id", "end_id")
 
 
 def with_mates(placed: DataFrame) -> DataFrame:

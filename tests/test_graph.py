@@ -80,7 +80,7 @@ def test_statistics(spark):
     assert calibrate.weighted_mean_top(c, "c", "len").first()["mean"] == 17.5
     assert calibrate.weighted_point(spark.createDataFrame([(10, 100), (20, 100), (30, 100)], "c int, len int"), "c", "len", 0.67).first()["c"] == 30
     lengths = spark.createDataFrame([(10,), (20,), (30,)], "l int")
-    assert (calibrate.n50(lengths, "l", True).first()["n50"], calibrate.n50(lengths, "l", False).first()["n50"]) == (30, 30) or calibrate.n50(lengths, "l", True).first()["n50"] == 20
+    assert (calibrate.n50(lengths, "l", True).first()["n50"], calibrate.n50(lengths, "l", False).first()["n50"]) == (20, 30)
     e = spark.range(1).select(placement.estimate(F.array(F.lit(100), F.lit(200), F.lit(400)), F.array()).alias("x"), placement.estimate(F.array().cast("array<int>"), F.array(F.lit(100), F.lit(200))).alias("y")).first()
     assert tuple(e) == (200, 150)
     assert spark.range(1).select(placement.node_coverage(F.lit(12), F.lit(400), 100, 9)).first()[0] == 2.5

@@ -20,8 +20,13 @@ in a cell. Within a cell:
    components, are searched again by R-trees over blocks of their points,
    for pairs of two components.
 
-A pair in one component needs no second look, so no link is lost, and a group
-of g copies costs g pairs in place of g * g.
+For components a pair in one component needs no second look, so connectivity
+is whole though not every link is looked at, and a group of g copies costs g
+pairs in place of g * g. ngram_jaccard_links looks at every pair: the cells of
+one smallest node are searched by the same trees for all pairs of their
+members, also those of one component, and all that the bound lets through are
+verified. Its pairs are as many as there are links of different sets at least;
+exact copies are one node and count by their number.
 """
 
 from __future__ import annotations
@@ -286,7 +291,8 @@ def _tree_pairs(num: int, den: int):
             left, right = np.flatnonzero((side[own] != 1) & minor[own]), np.flatnonzero(side[own] != 0)
             if not len(left) or not len(right):
                 continue
-            for x, y in zip(*_cross_pairs(nodes[own], roots[own], points[own], sizes[own], left, right, num, den), strict=True):
+            x_y = np.sort(np.stack(_cross_pairs(nodes[own], roots[own], points[own], sizes[own], left, right, num, den), axis=1), axis=1)
+            for x, y in np.unique(x_y, axis=0):
                 x, y = begin + x, begin + y
                 pair = (int(min(nodes[x], nodes[y])), int(max(nodes[x], nodes[y])))
                 if pair not in out:
@@ -366,16 +372,8 @@ def _rooted(nodes: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("node", column), column, "left").withColumn("root", F.coalesce("root", column))
 
 
-def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of docs (doc_id, text).
-
-    Two documents link when den * |A and B| >= num * |A or B| over their sets
-    of distinct k-word shingles; component_id is the smallest doc_id that
-    links reach. A document without words (or a null text) has 0 shingles and
-    is its own component. Rows with a null doc_id keep their size, have a
-    null component_id and link to nothing. Rows that repeat a doc_id each get
-    a result of their own text. Other columns of docs are ignored.
-    """
+def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs cast, each row with its size and node, the nodes, and (node, pivot) of the nodes in cells that another node leads."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = materialize(docs.mapInArrow(_describe(k), "doc_id long, n long, node long, point binary, middle binary, fine binary, slice int, counts binary"), "described")
@@ -389,7 +387,44 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int
     cells = materialize(sent.groupBy("part").applyInPandas(_cells, "cell long, node long, pivot long, lead boolean"), "cells")
     more = cells.where("not lead").select("cell", "node").join(cells.where("lead and node = pivot").select("cell", "pivot"), "cell").select("node", "pivot")
     star = materialize(cells.where("lead and node <> pivot").select("node", "pivot").union(more).distinct(), "star")
+    return docs, each, nodes, star
+
+
+def _searched(blocks: DataFrame, num: int, den: int, both: bool) -> DataFrame | None:
+    """Distinct pairs that the trees find in blocks (pivot, ni, nj, minor, node, root, n, middle); None without rows.
+
+    A large cell is dealt as pairs of its blocks. Where both sides are all
+    members (ni = nj), a pair of blocks is searched once, i <= j.
+    """
+    groups = -(-blocks.count() // CELL_ROWS)
+    if not groups:
+        return None
+    own, zero = F.xxhash64("node"), F.lit(0).cast("long")
+    large, i, j = blocks.where("nj > 1"), F.pmod(own, F.col("ni")), F.pmod(own, F.col("nj"))
+    others = (F.sequence(i if both else zero, F.col("nj").cast("long") - 1), F.sequence(zero, (j if both else F.col("ni").cast("long") - 1)))
+    spread = [
+        part.withColumn("side", F.lit(side)).withColumn("other", F.explode(other)).select("pivot", *i_j, "side", "minor", "node", "root", "n", "middle")
+        for side, part, other, i_j in (
+            (0, large.where("minor"), others[0], (i.alias("i"), F.col("other").alias("j"))),
+            (1, large, others[1], (F.col("other").alias("i"), j.alias("j"))),
+            (2, blocks.where("nj = 1"), F.array(zero), (zero.alias("i"), zero.alias("j"))),
+        )
+    ]
+    dealt = spread[0].union(spread[1]).union(spread[2]).withColumn("g", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
+    return dealt.groupBy("g").applyInPandas(_tree_pairs(num, den), "a long, b long").distinct()
+
+
+def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of docs (doc_id, text).
 
+    Two documents link when den * |A and B| >= num * |A or B| over their sets
+    of distinct k-word shingles; component_id is the smallest doc_id that
+    links reach. A document without words (or a null text) has 0 shingles and
+    is its own component. Rows with a null doc_id keep their size, have a
+    null component_id and link to nothing. Rows that repeat a doc_id each get
+    a result of their own text. Other columns of docs are ignored.
+    """
+    docs, each, nodes, star = _routed(docs, k, num, den)
     links = _Links(docs, nodes, k, num, den)
     found = materialize(links.verify(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "point", "fine"), "links")
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -402,25 +437,46 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int
     sizes = sizes.where("every > 2 and every > most.c").select("pivot", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj"))
     blocks = rows.join(sizes, "pivot").join(nodes.select("node", "n", "middle"), "node")
     blocks = materialize(blocks.withColumn("minor", F.col("root") != F.col("main")), "cell-rows")
-    groups = -(-blocks.count() // CELL_ROWS)
-    if groups:
-        own, zero = F.xxhash64("node"), F.lit(0).cast("long")
-        large = blocks.where("nj > 1")
-        spread = [
-            part.withColumn("side", F.lit(side)).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1))).select("pivot", *i_j, "side", "minor", "node", "root", "n", "middle")
-            for side, part, other, i_j in (
-                (0, large.where("minor"), F.col("nj"), (F.pmod(own, F.col("ni")).alias("i"), F.col("other").cast("long").alias("j"))),
-                (1, large, F.col("ni"), (F.col("other").cast("long").alias("i"), F.pmod(own, F.col("nj")).alias("j"))),
-                (2, blocks.where("nj = 1"), F.lit(1), (zero.alias("i"), zero.alias("j"))),
-            )
-        ]
-        dealt = spread[0].union(spread[1]).union(spread[2]).withColumn("g", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(groups)))
-        pairs = dealt.groupBy("g").applyInPandas(_tree_pairs(num, den), "a long, b long").distinct()
+    pairs = _searched(blocks, num, den, both=False)
+    if pairs is not None:
         again = links.verify(materialize(pairs.join(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"), "pairs"), "fine")
         found = materialize(found.union(again), "links")
         roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return _named(each, nodes, roots)
+
 
+def _named(each: DataFrame, nodes: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
+    """each with the smallest doc_id of its node's component."""
     rooted = _rooted(nodes.select("node", "doc_id"), roots, "node")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("node", "component_id"), "named")
-    return each.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return each.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+
+
+def ngram_jaccard_links(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Every link: (a, b) between different sets, and per row of docs (doc_id, n_shingles, component_id, n_links).
+
+    Sets are named by their smallest doc_id, a < b. n_links counts all other
+    rows with an id that the row links to, exact copies among them, so links
+    of different sets count by the rows that have them. Rows as in
+    ngram_jaccard_components; those without words or id have no links.
+    """
+    docs, each, nodes, star = _routed(docs, k, num, den)
+    rows = materialize(star.union(star.select("pivot", "pivot").distinct()), "members")
+    width = F.ceil(F.col("every") / CELL_BLOCK).cast("int")
+    sizes = rows.groupBy("pivot").agg(F.count("*").alias("every")).select("pivot", width.alias("ni"), width.alias("nj"))
+    # a root of its own for each node: every pair is a pair of two
+    blocks = rows.join(sizes, "pivot").join(nodes.select("node", "n", "middle"), "node").select("pivot", "ni", "nj", F.lit(True).alias("minor"), "node", F.col("node").alias("root"), "n", "middle")
+    pairs = _searched(materialize(blocks, "cell-rows"), num, den, both=True)
+    if pairs is None:
+        pairs = docs.sparkSession.createDataFrame([], "a long, b long")
+    found = materialize(_Links(docs, nodes, k, num, den).verify(materialize(pairs, "pairs"), "fine"), "links")
+    roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    copies = each.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
+    ends = found.union(found.select("b", "a")).toDF("node", "other").join(copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
+    counts = materialize(copies.join(ends, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "n-links")
+    named = _named(each.join(counts, "node", "left"), nodes, roots, "n_links").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    spots = nodes.select("node", "doc_id")
+    links = found.join(spots.toDF("a", "x"), "a").join(spots.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return links, named

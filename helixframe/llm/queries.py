@@ -12,7 +12,7 @@ from helixframe.llm.decontaminate import find_leaks
 from helixframe.llm.line_dedup import dedup_lines
 from helixframe.llm.lm_score import score_texts
 from helixframe.llm.mixing import mix_sources
-from helixframe.llm.ngram_join import ngram_jaccard_components
+from helixframe.llm.ngram_join import ngram_jaccard_components, ngram_jaccard_links
 from helixframe.llm.suffix_dedup import remove_repeats
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -26,6 +26,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_links(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)[1]
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), at_least=0)
 
@@ -67,10 +71,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_warc, op3_quality, op4_decontaminate, op5_mixing, op6_suffix_dedup, op7_lm_score, op8_langid, op9_line_dedup, op10_url_filter)
+    f.__name__: f for f in (op1_ngram_jaccard, op1_ngram_links, op2_warc, op3_quality, op4_decontaminate, op5_mixing, op6_suffix_dedup, op7_lm_score, op8_langid, op9_line_dedup, op10_url_filter)
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": oracles.OP1,
+    "op1_ngram_links": oracles.OP1_LINKS,
     "op2_warc": oracles.OP2,
     "op4_decontaminate": oracles.OP4,
     "op5_mixing": oracles.OP5,

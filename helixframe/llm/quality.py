@@ -5,7 +5,9 @@ character classes and the histogram of the language's common words. The
 distance is Jensen-Shannon's (the root of the divergence, base 2, 0 to 1). A
 document fails when it is farther than the limits from every language's
 reference; under MIN_WORDS words the distances say too little and the rule
-lets it pass. References are sums over all documents of a language.
+lets it pass, as it does a document whose language is named but has no
+reference. References are sums over all documents of a language, and every
+language has one; they travel to the executors in blocks of BLOCK_LANGUAGES.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.text import LOWER, SPACE, bytes_of, chunks, running_shingles, word_hashes
 from helixframe.storage import materialize
 
-MIN_WORDS, MAX_LANGUAGES, COMMON = 50, 64, 100
+MIN_WORDS, BLOCK_LANGUAGES, COMMON = 50, 256, 100
 #: Distinct words that a task holds before it sends partial sums on.
 HELD_WORDS = 400_000
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.45
@@ -124,6 +126,12 @@ class References:
     chars: list[np.ndarray]
     words: list[dict[bytes, int]]
     shares: list[np.ndarray]
+    languages: list[str]
+
+    def blocks(self) -> Iterator[References]:
+        for i in range(0, len(self.languages), BLOCK_LANGUAGES):
+            own = slice(i, i + BLOCK_LANGUAGES)
+            yield References(self.chars[own], self.words[own], self.shares[own], self.languages[own])
 
     def distances(self, counts: np.ndarray, raw: bytes, n: int) -> tuple[float, float]:
         """The smallest distances of a document's two histograms to those of a language."""
@@ -141,33 +149,35 @@ class References:
 
 
 def learn_references(docs: DataFrame) -> References:
-    """References of the MAX_LANGUAGES languages with most words, over all documents with text and lang.
+    """References of every language with words, over all documents with text and lang.
 
     Words are summed per task before the shuffle; at most COMMON words and
     CLASSES numbers per language come to the driver.
     """
     partial = docs.where("text is not null and lang is not null").select("lang", "text").mapInArrow(_partial_counts, "lang string, kind int, item binary, n long")
     sums = materialize(partial.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "histograms")
-    totals = {(r["lang"], r["kind"]): r["n"] for r in sums.groupBy("lang", "kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "kind").limit(2 * MAX_LANGUAGES).collect()}
-    langs = [lang for lang, kind in totals if kind == 1 and (lang, 0) in totals]
+    totals = {r["lang"]: r["n"] for r in sums.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()}
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
-    top = sums.where("kind = 1").withColumn("place", place).where(F.col("place") <= COMMON).where(F.col("lang").isin(langs)).collect()
-    low = sums.where("kind = 0").where(F.col("lang").isin(langs)).collect()
-    found = References([], [], [])
-    for lang in langs:
-        rows = sorted((r["place"], bytes(r["item"]), r["n"]) for r in top if r["lang"] == lang)
+    top: dict[str, list] = {lang: [] for lang in totals}
+    chars = {lang: np.zeros(CLASSES) for lang in totals}
+    for r in sums.where("kind = 1").withColumn("place", place).where(F.col("place") <= COMMON).collect():
+        top[r["lang"]].append((r["place"], bytes(r["item"]), r["n"]))
+    for r in sums.where("kind = 0").collect():
+        if r["lang"] in chars:
+            chars[r["lang"]][int(r["item"])] = r["n"]
+    found = References([], [], [], list(totals))
+    for lang in totals:
+        rows = sorted(top[lang])
         found.words.append({w: i for i, (_, w, _) in enumerate(rows)})
-        found.shares.append(np.array([*(n for _, _, n in rows), totals[lang, 1] - sum(n for _, _, n in rows)], float))
-        chars = np.zeros(CLASSES)
-        for r in low:
-            if r["lang"] == lang:
-                chars[int(r["item"])] = r["n"]
-        found.chars.append(chars)
+        found.shares.append(np.array([*(n for _, _, n in rows), totals[lang] - sum(n for _, _, n in rows)], float))
+        found.chars.append(chars[lang])
     return found
 
 
-def _judge(refs):
+def _judge(sent: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = [x.value for x in sent]
+        known = {lang for x in refs for lang in x.languages}
         for batch in chunks(batches):
             data, offs = bytes_of(batch["text"])
             hashes, at = word_hashes(data, offs, lower=False)
@@ -175,12 +185,15 @@ def _judge(refs):
             points = np.concatenate([[0], np.cumsum(((data & 0xC0) != 0x80) & ~SPACE[data])])
             symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
             raw, low = data.tobytes(), LOWER[data].tobytes()
-            rows = []
+            rows, langs = [], batch["lang"].to_pylist()
             for i in range(batch.num_rows):
                 a, b, n = offs[i], offs[i + 1], int(at[i + 1] - at[i])
                 repeat = repeated_positions(hashes[at[i] : at[i + 1]])
                 failed = n < 10 or 100 * repeat > 20 * n
-                chars, words = refs.value.distances(counts[i], low[a:b], n) if n >= MIN_WORDS else (0.0, 0.0)
+                chars = words = 0.0
+                if refs and n >= MIN_WORDS and (langs[i] is None or langs[i] in known):
+                    every = [x.distances(counts[i], low[a:b], n) for x in refs]
+                    chars, words = min(x for x, _ in every), min(x for _, x in every)
                 kept = not failed and (n < MIN_WORDS or (chars <= CHAR_LIMIT + CHAR_SLACK / n and words <= WORD_LIMIT + WORD_SLACK / n))
                 rows.append((n, int(points[b] - points[a]), int(symbols[b] - symbols[a]), duplicate_lines(raw[a:b]), repeat, failed, kept, chars, words))
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
@@ -197,10 +210,13 @@ def judge_quality(docs: DataFrame, refs: References | None = None) -> DataFrame:
 
     Null and empty texts have no words and fail the base rule. A table with
     no labelled language has no references: then only the base rule decides.
+    It also decides alone for a row whose lang is named but not in the given
+    refs; a row without lang is compared with every language.
     Null ids are kept as they are, repeated rows are judged alike, other
     columns are ignored.
     """
     refs = learn_references(docs) if refs is None else refs
-    sent = docs.sparkSession.sparkContext.broadcast(refs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in refs.blocks()]
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"))
     return docs.mapInArrow(_judge(sent), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double")

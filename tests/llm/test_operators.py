@@ -217,6 +217,19 @@ def test_divergence_of_references(spark, monkeypatch, none):
     assert refs.shares[0].sum() == sum(counts.values()) and set(refs.words[0]) == set(counts)
 
 
+def test_every_language_has_a_reference(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_LANGUAGES", 50)
+    rnd = random.Random(8)
+    langs = {f"l{i:03}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for i in range(140)}
+    rows = [(i, " ".join(rnd.choices(words, k=60)), lang, "a", 0) for i, (lang, words) in enumerate(langs.items())]
+    docs = spark.createDataFrame(rows, DOC)
+    refs = quality.learn_references(docs)
+    assert sorted(refs.languages) == sorted(langs) and [len(x.languages) for x in refs.blocks()] == [50, 50, 40]
+    junk = spark.createDataFrame([(900, " ".join(f"{i}#{i}" for i in range(60)), "l000", "a", 0), (901, " ".join(f"{i}#{i}" for i in range(60)), "none", "a", 0)], DOC)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs.union(junk), refs).collect()}
+    assert all(got[i] for i in range(140)) and not got[900] and got[901]  # the last has a language without a reference
+
+
 def test_distance():
     p, q = np.array([1.0, 0, 3]), np.array([0, 5.0, 0])
     assert quality.distance(p, q) == 1.0 and quality.distance(p, 2 * p) == 0 and quality.distance(p, 0 * p) == 0

@@ -7,7 +7,10 @@ softmax are trained by stochastic gradient descent in numpy on the driver,
 on windows of words from a bounded sample of labelled rows (SAMPLE_ROWS rows,
 WINDOWS windows of WINDOW_WORDS words each). A temperature fitted on held-back
 windows calibrates the score, and the score under which REJECT of the
-held-back windows fall is the rejection threshold.
+held-back windows fall is the rejection threshold. Short texts score lower
+and scatter, so windows are also held back cut to their first CUTS words, and
+each power of two of subwords has a threshold of its own; texts longer than
+all windows have that of the longest.
 
 Prediction folds softmax and table into one table of BUCKETS x languages and
 sums it over every subword of the whole text.
@@ -32,8 +35,8 @@ SAMPLE_ROWS, WINDOWS, WINDOW_WORDS, MAX_LANGUAGES = 6000, 2, 24, 200
 EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Step sizes of the softmax and of table rows against RATE, and the most that a row moves in a step.
 TOP_STEP, ROW_STEP, MOST_STEP = 3.0, 5.0, 1.0
-#: Share of held-back windows under the threshold, and the highest threshold there may be: close to a guess.
-REJECT, HIGHEST = 0.002, 0.35
+#: Share of held-back windows under the threshold, words to which they are cut, and classes of length.
+REJECT, CUTS, LENGTHS = 0.002, (1, 2, 4, 8, 16), 12
 UNKNOWN = "und"
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,21 +94,23 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: np.ndarray
 
-    def logits(self, texts: pa.Array) -> np.ndarray:
+    def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the logits and the class of its length."""
         data, offs = bytes_of(texts)
         total, count = np.zeros((len(offs) - 1, len(self.languages))), np.zeros(len(offs) - 1)
         for rows, at in subwords(data, offs):
             total += _segment_sums(self.table[rows], at)
             count += np.diff(at)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        return total / np.maximum(count, 1)[:, None] + self.bias, np.minimum(np.log2(np.maximum(count, 1)).astype(int), LENGTHS - 1)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the text is rejected."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        p = _softmax(self.logits(texts) * self.temperature)
+        logits, length = self.logits(texts)
+        p = _softmax(logits * self.temperature)
         best = p.argmax(axis=1)
         score = p[np.arange(len(best)), best]
         data, offs = bytes_of(texts)
@@ -114,14 +119,14 @@ class Model:
         for i in np.flatnonzero(~lettered):
             lettered[i] = any(c.isalpha() for c in texts[int(i)].as_py() or "")
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-        return names, np.where(lettered, score, 0.0), ~lettered | (score < self.threshold)
+        return names, np.where(lettered, score, 0.0), ~lettered | (score < self.thresholds[length])
 
 
 def fit(examples: list[tuple[str, str]], seed: int = 1) -> Model:
     """A model of (text, language) examples; every fifth is held back for calibration."""
     languages = sorted({lang for _, lang in examples})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, np.zeros(LENGTHS))
     rng = np.random.Generator(np.random.PCG64(seed))
     examples = sorted(examples)
     rng.shuffle(examples)
@@ -158,9 +163,24 @@ def fit(examples: list[tuple[str, str]], seed: int = 1) -> Model:
     grid = 2.0 ** np.arange(-3, 6, 0.25)
     loss = [-np.log(np.maximum(_softmax(raw * t)[np.arange(len(held)), truth], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    score = np.sort(_softmax(raw * temperature).max(axis=1))
-    threshold = float(min(score[int(REJECT * len(score))], HIGHEST))
-    return Model(languages, folded, bias, temperature, threshold)
+    model = Model(languages, folded, bias, temperature, np.zeros(LENGTHS))
+    model.thresholds = _thresholds(model, [examples[i][0] for i in held])
+    return model
+
+
+def _thresholds(model: Model, texts: list[str]) -> np.ndarray:
+    """Per class of length the score under which REJECT of the texts, whole and cut, fall; classes without any take the next shorter one's, the shortest the next longer one's."""
+    cut = [" ".join(t.split()[:n]) for n in CUTS for t in texts if len(t.split()) > n]
+    logits, length = model.logits(pa.array([*texts, *cut], pa.string()))
+    score = _softmax(logits * model.temperature).max(axis=1)
+    found = np.full(LENGTHS, np.nan)
+    for c in np.unique(length):
+        own = np.sort(score[length == c])
+        found[c] = own[int(REJECT * len(own))]
+    known = np.flatnonzero(~np.isnan(found))
+    if not len(known):
+        return np.zeros(LENGTHS)
+    return found[known[np.maximum(np.searchsorted(known, np.arange(LENGTHS), "right") - 1, 0)]]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

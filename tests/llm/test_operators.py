@@ -262,6 +262,19 @@ def test_langid_held_out_accuracy(spark, none):
     assert langid.identify(none, model, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("count", [2, 4])
+def test_langid_rejects_an_unlearned_language(count):
+    rnd = random.Random(6)
+    letters = ["abcdef", "ghijkl", "mnopqr", "stuvwx"][:count]
+    def text(own, n):
+        return " ".join("".join(rnd.choices(own, k=rnd.randint(3, 7))) for _ in range(n))
+    model = langid.fit([(text(own, 24), own) for own in letters for _ in range(300)])
+    known = [text(own, n) for own in letters for n in (3, 24, 300) for _ in range(20)]
+    other = [text("yz0123", n) for n in (8, 24, 300) for _ in range(20)]
+    assert model.predict(pa.array(known))[2].sum() <= 0.05 * len(known)
+    assert model.predict(pa.array(other))[2].mean() >= 0.95
+
+
 # --- language-model scores
 
 

@@ -4,16 +4,17 @@ Subwords are the byte 2-, 3- and 4-grams of words, blanks marking where words
 begin and end, hashed into BUCKETS rows of an embedding table. A text is the
 mean of its rows, a linear softmax on top gives the language. Table and
 softmax are trained by stochastic gradient descent in numpy on the driver,
-on windows of words from a bounded sample of labelled rows (SAMPLE_ROWS rows,
-WINDOWS windows of WINDOW_WORDS words each). A temperature fitted on held-back
+on windows of words from a sample of labelled rows (about SAMPLE_ROWS rows, but
+LEAST_ROWS of every language, WINDOWS windows of WINDOW_WORDS words each). A temperature fitted on held-back
 windows calibrates the score, and the score under which REJECT of the
 held-back windows fall is the rejection threshold. Short texts score lower
 and scatter, so windows are also held back cut to their first CUTS words, and
 each power of two of subwords has a threshold of its own; texts longer than
 all windows have that of the longest.
 
-Prediction folds softmax and table into one table of BUCKETS x languages and
-sums it over every subword of the whole text.
+Prediction sums the table over every subword of the whole text; up to DIMS
+languages softmax and table are folded into one table before, with more the
+softmax comes after, so the table doesn't grow with the languages.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from helixframe.llm.text import LOWER, SPACE, bytes_of, chunks, mix
 
 BUCKETS, DIMS = 1 << 16, 16
 SIZES = (2, 3, 4)
-SAMPLE_ROWS, WINDOWS, WINDOW_WORDS, MAX_LANGUAGES = 6000, 2, 24, 200
+SAMPLE_ROWS, LEAST_ROWS, WINDOWS, WINDOW_WORDS = 6000, 20, 2, 24
 EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Step sizes of the softmax and of table rows against RATE, and the most that a row moves in a step.
 TOP_STEP, ROW_STEP, MOST_STEP = 3.0, 5.0, 1.0
@@ -95,15 +96,18 @@ class Model:
     bias: np.ndarray
     temperature: float
     thresholds: np.ndarray
+    #: The softmax where it is not folded into the table.
+    top: np.ndarray | None = None
 
     def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text the logits and the class of its length."""
         data, offs = bytes_of(texts)
-        total, count = np.zeros((len(offs) - 1, len(self.languages))), np.zeros(len(offs) - 1)
+        total, count = np.zeros((len(offs) - 1, self.table.shape[1])), np.zeros(len(offs) - 1)
         for rows, at in subwords(data, offs):
             total += _segment_sums(self.table[rows], at)
             count += np.diff(at)
-        return total / np.maximum(count, 1)[:, None] + self.bias, np.minimum(np.log2(np.maximum(count, 1)).astype(int), LENGTHS - 1)
+        mean = total / np.maximum(count, 1)[:, None]
+        return (mean if self.top is None else mean @ self.top) + self.bias, np.minimum(np.log2(np.maximum(count, 1)).astype(int), LENGTHS - 1)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the text is rejected."""
@@ -131,7 +135,8 @@ def fit(examples: list[tuple[str, str]], seed: int = 1) -> Model:
     examples = sorted(examples)
     rng.shuffle(examples)
     rows = bags(pa.array([t for t, _ in examples], pa.string()))
-    want = np.array([languages.index(lang) for _, lang in examples])
+    number = {lang: i for i, lang in enumerate(languages)}
+    want = np.array([number[lang] for _, lang in examples])
     used = [i for i in range(len(rows)) if len(rows[i])]
     held = used[::5] if len(used) >= 50 else used
     train = [i for j, i in enumerate(used) if j % 5] if len(used) >= 50 else used
@@ -157,13 +162,15 @@ def fit(examples: list[tuple[str, str]], seed: int = 1) -> Model:
             ids, first = np.unique(flat[order], return_index=True)
             moved = ROW_STEP * rate * np.add.reduceat(np.repeat(back, size, axis=0)[order], first, axis=0)
             table[ids] -= moved.clip(-MOST_STEP, MOST_STEP).astype(np.float32)
-    folded = table.astype(np.float64) @ top
-    raw = np.array([folded[rows[i]].mean(axis=0) for i in held]) + bias
+    wide = len(languages) > DIMS
+    folded = table.astype(np.float64) if wide else table.astype(np.float64) @ top
+    raw = np.array([folded[rows[i]].mean(axis=0) for i in held])
+    raw = (raw @ top if wide else raw) + bias
     truth = want[held]
     grid = 2.0 ** np.arange(-3, 6, 0.25)
     loss = [-np.log(np.maximum(_softmax(raw * t)[np.arange(len(held)), truth], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
-    model = Model(languages, folded, bias, temperature, np.zeros(LENGTHS))
+    model = Model(languages, folded, bias, temperature, np.zeros(LENGTHS), top if wide else None)
     model.thresholds = _thresholds(model, [examples[i][0] for i in held])
     return model
 
@@ -195,15 +202,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, usable: Column) -> Model:
-    """A model learnt from the text and lang of usable rows; doc_id only picks the sample."""
+    """A model of every language, learnt from the text and lang of usable rows; doc_id only picks the sample."""
     rows = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return fit([])
-    per = max(20, SAMPLE_ROWS // len(counts))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per / n))))
+    per = max(LEAST_ROWS, SAMPLE_ROWS // len(counts))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, per / n)) for lang, n in counts.items()], "lang string, __share double")
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    sample = rows.where(pick < F.try_element_at(share, F.col("lang")) * (1 << 20)).select(F.col("text").cast("string").alias("text"), "lang", pick.alias("pick"))
+    sample = rows.join(F.broadcast(shares), "lang").where(pick < F.col("__share") * (1 << 20)).select(F.col("text").cast("string").alias("text"), "lang", pick.alias("pick"))
     return fit([(r["text"], r["lang"]) for r in sample.mapInArrow(_cut, "text string, lang string").collect()])
 
 

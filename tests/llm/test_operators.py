@@ -275,6 +275,16 @@ def test_langid_rejects_an_unlearned_language(count):
     assert model.predict(pa.array(other))[2].mean() >= 0.95
 
 
+def test_langid_learns_every_language(spark):
+    rnd = random.Random(9)
+    words = {f"l{i:03}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)] for i in range(210)}
+    rows = [(4 * i + j, " ".join(rnd.choices(own, k=30)), lang, "s", 0) for i, (lang, own) in enumerate(words.items()) for j in range(4)]
+    model = langid.train(spark.createDataFrame(rows, DOC), F.lit(True))
+    assert model.languages == sorted(words)
+    names, score, rejected = model.predict(pa.array([r[1] for r in rows]))
+    assert len(names) == len(rows) and score.shape == rejected.shape == (len(rows),)
+
+
 # --- language-model scores
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import calibrate, correct, extension, graph, placement
@@ -113,3 +114,12 @@ def test_branches(spark):
     assert got(b, "branch", "seq", "n_reads", "max_over") == [(0, "ACGT", 2, 60), (1, "AGG", 1, 55), (2, "T", 1, 40)]
     assert got(extension.cull_branches(b, 2), "seq") == [("ACGT",)]
     assert got(extension.next_bases(o), "base", "n") == [("A", 3), ("T", 1)]
+
+
+def test_duplicates_of_each_other_and_flipped(spark):
+    a, b = "ACGTACGTACGTACGT", "TGCATGCATGCATGCA"
+    one, two, other = a + "CATTGACCTGAATCGGATCA" * 4, a + "GGCCTTAAGTCTAGACTTAC" * 4, b + "CTAGGATCCATTACGTCAGT" * 4
+    rows = [(1, one, other), (2, two, other), (3, two, other), (4, other, one), (5, other, two)]
+    p = spark.createDataFrame([(i, x, y, "I" * len(x), "I" * len(y)) for i, x, y in rows], "pair_no long, r1 string, r2 string, q1 string, q2 string")
+    assert got(correct.drop_duplicates(p), "pair_no") == [(1,), (2,)]
+    assert got(correct.confirm_duplicates(correct.dedup_keys(p)), "pair_no", "lead") == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 2)]

@@ -6,6 +6,8 @@ n). Loops are bounded and write their state each round.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,18 +74,18 @@ def cross_pairings(edges: DataFrame, hits: DataFrame, least: int = 1, ratio: int
     return scored.withColumn("miss", miss).where((F.col("score") >= least) & (F.col("score") >= ratio * F.col("miss"))).drop("miss")
 
 
-def pop_bubbles(edges: DataFrame, nodes: DataFrame, most_reads: int = BUBBLE_READS, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Edges and nodes without weak arms of bubbles whose stronger arm differs in length, until none is left."""
-    for _ in range(rounds):
+def pop_bubbles(edges: DataFrame, nodes: DataFrame, most_reads: int = BUBBLE_READS, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes without weak arms of bubbles whose stronger arm differs in length, until none is left; each round drops a node at least. A bound that is hit is an error."""
+    for _ in count() if rounds is None else range(rounds):
         found = bubbles(edges, nodes, most_reads)
         lengths = nodes.select("node", "len")
         found = found.join(lengths.toDF("weak", "weak_len"), "weak").join(lengths.toDF("strong", "strong_len"), "strong").where("weak_len <> strong_len")
         gone = materialize(found.select(F.col("weak").alias("node")).distinct(), "gone")
         if gone.isEmpty():
-            break
+            return edges, nodes
         edges = materialize(drop_nodes(edges, gone), "edges")
         nodes = materialize(nodes.join(gone, "node", "left_anti"), "nodes")
-    return edges, nodes
+    raise RuntimeError("bubbles are left")
 
 
 def drop_islands(edges: DataFrame, nodes: DataFrame, least_reads: int = 20) -> DataFrame:
@@ -110,18 +112,18 @@ def compress(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return outer, merged
 
 
-def best_walk(edges: DataFrame, scores: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(start, place, node): from each start on to the neighbour with the best score (src, dst, score), smaller node first, until an end or a node seen before."""
+def best_walk(edges: DataFrame, scores: DataFrame, starts: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(start, place, node): from each start on to the neighbour with the best score (src, dst, score), smaller node first, until an end or a node seen before. A bound of steps that is hit is an error."""
     choice = edges.select("src", "dst").join(scores.select("src", "dst", "score"), ["src", "dst"], "left").groupBy("src").agg(F.max(F.struct(F.coalesce("score", F.lit(0)).alias("s"), (-F.col("dst")).alias("d"))).alias("b")).select("src", (-F.col("b.d")).alias("dst"))
     choice = materialize(choice, "choice")
     now = materialize(starts.select(F.col("node").alias("start"), F.lit(0).alias("place"), "node"), "walk")
-    for place in range(rounds):
+    for place in count() if rounds is None else range(rounds):
         ahead = now.where(F.col("place") == place).select("start", F.col("node").alias("src")).join(choice, "src").select("start", F.lit(place + 1).alias("place"), F.col("dst").alias("node"))
         ahead = materialize(ahead.join(now.select("start", "node"), ["start", "node"], "left_anti").select("start", "place", "node"), "ahead")
         if ahead.isEmpty():
             return now
         now = materialize(now.union(ahead), "walk")
-    return now
+    raise RuntimeError("walks did not end")
 
 
 def widest_path(edges: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -94,19 +94,23 @@ def extend_once(ends: DataFrame, reads: DataFrame, least: int, most: int) -> Dat
     return tail.join(counted, "q_id", "left").select("q_id", F.when(F.col("n") == 1, F.concat("seq", "b.seq")).otherwise(F.col("seq")).alias("seq"), F.when(F.col("n").isNull(), 1).when(F.col("n") > 1, 2).otherwise(0).alias("stop"))
 
 
-def grow(seeds: DataFrame, reads: DataFrame, least: int, limit: int, most: int = 300, rounds: int = 100) -> DataFrame:
+def grow(seeds: DataFrame, reads: DataFrame, least: int, limit: int, most: int = 300, rounds: int | None = None) -> DataFrame:
     """(q_id, seq, stop): seeds extended to the right until nothing extends them, branches disagree, or `limit` bases were added.
 
     All seeds grow in one job per round; the table is written each round so
-    that the plan doesn't grow with the sequences.
+    that the plan doesn't grow with the sequences. A round adds a base at
+    least, so there are no more than limit + 1 rounds; a smaller bound that is
+    hit is an error.
     """
     from helixframe.storage import materialize
 
     now = materialize(seeds.select("q_id", "seq", F.lit(0).alias("stop"), F.length("seq").alias("start")), "grow")
-    for _ in range(rounds):
+    for _ in range(limit + 1 if rounds is None else rounds):
         if now.where("stop = 0").isEmpty():
             break
         moved = extend_once(now.where("stop = 0"), reads, least, most).join(now.select("q_id", "start"), "q_id")
         moved = moved.select("q_id", "seq", F.when((F.col("stop") == 0) & (F.length("seq") - F.col("start") >= limit), 3).otherwise(F.col("stop")).alias("stop"), "start")
         now = materialize(now.where("stop <> 0").union(moved), "grow")
+    if not now.where("stop = 0").isEmpty():
+        raise RuntimeError("growth did not end")
     return now.select("q_id", "seq", "stop")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import assembly as A
@@ -79,3 +80,13 @@ def test_contigs(spark):
     assert got(n, "node", "seq") == [(1, "AAC"), (2, "GG"), (10, "CGG")] and got(e, "src", "dst", "ol") == [(1, 10, 0), (10, 2, 2)]
     assert got(p, "node", "read_no", "start", "end") == [(1, 7, 0, 3), (10, 8, 1, 3)]
     assert spark.range(1).select(A.multiplicity(F.lit(41.0), 20)).first()[0] == 2
+
+
+def test_walks_and_bubbles_that_are_cut_short_raise(spark):
+    e = graph_of(spark, [(1, 2, 30), (1, 3, 60), (2, 4, 50), (3, 4, 10)])
+    scores = spark.createDataFrame([(1, 3, 5)], "src long, dst long, score int")
+    with pytest.raises(RuntimeError):
+        A.best_walk(e, scores, spark.createDataFrame([(1,)], "node long"), rounds=1)
+    n = spark.createDataFrame([(1, 9, 30), (2, 5, 2), (3, 6, 9), (4, 9, 30)], "node long, len int, n_reads long")
+    with pytest.raises(RuntimeError):
+        A.pop_bubbles(e, n, rounds=1)

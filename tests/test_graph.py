@@ -123,3 +123,10 @@ def test_duplicates_of_each_other_and_flipped(spark):
     p = spark.createDataFrame([(i, x, y, "I" * len(x), "I" * len(y)) for i, x, y in rows], "pair_no long, r1 string, r2 string, q1 string, q2 string")
     assert got(correct.drop_duplicates(p), "pair_no") == [(1,), (2,)]
     assert got(correct.confirm_duplicates(correct.dedup_keys(p)), "pair_no", "lead") == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 2)]
+
+
+def test_growth_that_is_cut_short_raises(spark):
+    text = "".join(random.Random(5).choices("ACGT", k=400))
+    reads = spark.createDataFrame([(i, text[a : a + 100]) for i, a in enumerate(range(0, 301, 20))], "read_no long, seq string")
+    with pytest.raises(RuntimeError):
+        extension.grow(spark.createDataFrame([(1, text[:100])], "q_id long, seq string"), reads, 45, 1000, rounds=1)

@@ -1,11 +1,10 @@
 """Benchmark decontamination: MinHash containment search of short items in long documents.
 
 An item is the set of its distinct k-word shingles; it leaks into a document
-when at least num/den of its shingles occur in the document. Items are
-partitioned by set size q. The sketch of an item is its bottom
-q - ceil(num/den * q) + 1 min-hash values, a length that follows from the
-partition's size: a document that contains enough of the item contains at
-least one of them, so the search misses nothing. Document shingles look up
+when at least num/den of its shingles occur in the document. The sketch of an item
+of q shingles is its bottom q - ceil(num/den * q) + 1 min-hash values, an exact
+filter per item in place of partitions by set size: a document that contains
+enough of the item contains at least one of them, so the search misses nothing. Document shingles look up
 the sketches, and the items found are verified by exact containment of all
 their shingles.
 
@@ -32,7 +31,7 @@ SCHEMA = "doc_id long, item_id long, shared long, item_shingles long, containmen
 
 
 class Sketches:
-    """The sketches of a block of items, by size partition, and their whole sets."""
+    """The sketches of a block of items in one sorted table, and their whole sets."""
 
     def __init__(self, ids: list[int], texts: list[str], k: int, num: int, den: int):
         self.k, self.num, self.den, self.ids = k, num, den, ids

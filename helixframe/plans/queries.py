@@ -434,6 +434,22 @@ def shortest_dist(spark, sf_dir):
     return graph.reach(edges, _starts(nodes), limit=12)
 
 
+_REACH_ALL = f"WITH RECURSIVE {EDGES}, starts AS (SELECT node_id AS node FROM sequences)"
+
+
+@query(f"""{_REACH_ALL}, walk AS (SELECT node AS start, node, 0::BIGINT AS dist FROM starts UNION SELECT start, dst, dist + 100 - ol FROM walk JOIN edges ON src = node WHERE dist + 100 - ol <= 400)
+SELECT start, node, min(dist) AS dist FROM walk GROUP BY start, node""")
+def reach_limited_all(spark, sf_dir):
+    edges, nodes = _graph(spark, sf_dir)
+    return graph.reach(edges, nodes.select("node"), lengths=nodes.select("node", F.length("seq").alias("len")), limit=400)
+
+
+@query(f"""{_REACH_ALL}, walk AS (SELECT node AS start, node, 0::BIGINT AS dist FROM starts UNION SELECT start, dst, dist + 1 FROM walk JOIN edges ON src = node WHERE dist < 12) SELECT start, node, min(dist) AS dist FROM walk GROUP BY start, node""")
+def shortest_dist_all(spark, sf_dir):
+    edges, nodes = _graph(spark, sf_dir)
+    return graph.reach(edges, nodes.select("node"), limit=12)
+
+
 _SIDES = f"""{_REACH}, ends AS (SELECT min(node) AS a, max(node) AS b FROM starts), ra AS (SELECT a AS node FROM ends UNION SELECT dst FROM ra JOIN edges ON src = node), rb AS (SELECT b AS node FROM ends UNION SELECT dst FROM rb JOIN edges ON src = node)"""
 
 

@@ -32,11 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.membership import bitmap_of, may_belong
-from helixframe.llm.text import _BASE, _INVERSE, _VALUE, _power, bytes_of, chunks, mix
+from helixframe.llm.text import CHUNK_BYTES, bytes_of, chunks, mix
 from helixframe.storage import materialize
 
 LENGTH, GRAM = 200, 48
@@ -51,8 +52,31 @@ _SPOT = np.uint64((1 << 28) - 1)
 _SPANS = np.dtype([("p", "<u4"), ("span", "<u2"), ("back", "<u2")])
 
 
+_rng = np.random.Generator(np.random.PCG64(20240229))
+_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        size = max(n, CHUNK_BYTES + 1)
+        have = np.empty(size, np.uint64)
+        have[0] = 1
+        done = 1
+        while done < size:
+            take = min(done, size - done)
+            have[done : done + take] = have[:take] * np.uint64(pow(base, done, 1 << 64))
+            done += take
+        if size <= 2 * CHUNK_BYTES:
+            _powers[base] = have
+    return have
+
+
 class Rolling:
-    """Hashes of any substring of data."""
+    """Hashes of substrings of a few dozen bytes; they choose anchors and sort runs, and decide nothing."""
 
     def __init__(self, data: np.ndarray):
         self.run = np.empty(len(data) + 1, np.uint64)
@@ -68,6 +92,12 @@ class Rolling:
         return mix((self.run[width:] - self.run[: len(self.run) - width]) * self.inverse[: len(self.run) - width])
 
 
+def digests(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """XXH3 digests of the bytes a to b: what tells repeated strings from others."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a))
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of every width values in a row."""
     n = len(values)
@@ -97,7 +127,7 @@ def runs_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> Itera
         first = np.flatnonzero(new)
         p1, p2 = good[first], good[np.append(first[1:], len(good)) - 1]
         at = anchor[first]
-        whole = mix(roll(p1, p2 + length) + (((at - p1) << 20) + (p2 - p1)).astype(np.uint64))
+        whole = mix(digests(part, p1, p2 + length) + (((at - p1) << 20) + (p2 - p1)).astype(np.uint64))
         text = owner[p1]
         yield text, p1 + s - offs[text], p2 - p1, at - p1, grams[at], whole
 
@@ -249,14 +279,6 @@ def _stretches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def _in_pieces(own: np.ndarray, begin: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int, Rolling]]:
-    """Which of the places that begin at `begin` lie in each piece of a text, where the piece begins, and its hashes; it reaches `most` bytes beyond."""
-    for a in range(0, len(own), PIECE):
-        here = np.flatnonzero((begin >= a) & (begin < a + PIECE))
-        if len(here):
-            yield here, a, Rolling(own[a : a + PIECE + most])
-
-
 def _spans_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(key, text, spans to take apart) of each row."""
     data, offs = bytes_of(batch["text"])
@@ -281,10 +303,8 @@ def _round_two(length: int, gram: int, parts: int, buckets: int):
                 far, near = np.minimum(back[of], step * STEP + STEP - 1), np.maximum(least[of], step * STEP)
                 rows = np.empty(len(step), _RUN)
                 p1, p2 = anchor[of] - far, anchor[of] - near
-                for here, a, roll in _in_pieces(own, p1, 2 * length):
-                    x, y, z = p1[here] - a, p2[here] - a, anchor[of][here] - a
-                    rows["gram"][here] = mix(roll(z, z + gram) + step[here].astype(np.uint64))
-                    rows["whole"][here] = mix(roll(x, y + length) + ((far[here] << 20) + (y - x)).astype(np.uint64))
+                rows["gram"] = mix(digests(own, anchor, anchor + gram)[of] + step.astype(np.uint64))
+                rows["whole"] = mix(digests(own, p1, p2 + length) + ((far << 20) + (p2 - p1)).astype(np.uint64))
                 rows["key"], rows["p"], rows["span"], rows["back"] = key, p1, p2 - p1, far
                 held.append(rows)
                 n += len(rows)
@@ -306,8 +326,7 @@ def _round_three(length: int, parts: int, buckets: int):
                 first = spans["p"].astype(np.int64)
                 p = _stretches(first, first + spans["span"])
                 rows = np.empty(len(p), _WINDOW)
-                for here, a, roll in _in_pieces(own, p, length):
-                    rows["rank"][here] = roll(p[here] - a, p[here] - a + length)
+                rows["rank"] = digests(own, p, p + length)
                 rows["key"], rows["p"], rows["known"] = key, p, 0
                 held.append(rows)
                 n += len(rows)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 
 CHUNK_BYTES = 2 << 20
 
@@ -20,27 +21,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEPS = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        done = 1
-        while done < size:
-            take = min(done, size - done)
-            have[done : done + take] = have[:take] * np.uint64(pow(base, done, 1 << 64))
-            done += take
-        if size <= 2 * CHUNK_BYTES:
-            _powers[base] = have
-    return have
+#: The lowest 0 to 8 bytes of a number.
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,18 +78,38 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, last, np.searchsorted(first, offs)
 
 
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every span of data.
+
+    Eight bytes at a time are taken into a running value that begins with the
+    length, each step a bijection: no two spans of one length up to eight
+    bytes collide, and longer ones have no collisions that follow from their
+    form, as sums of powers have.
+    """
+    size = last - first
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(size.astype(np.uint64) + _STEPS[0])
+    long = size > LONG_SPAN
+    live = np.flatnonzero(~long) if long.any() else np.arange(len(first))
+    done = 0
+    while len(live):
+        left = size[live] - done
+        out[live] = mix(out[live] * _STEPS[1] ^ (eight[first[live] + done] & _LOW_BYTES[np.minimum(left, 8)]))
+        done += 8
+        live = live[left > 8]
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(long).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : last[i]])
+    return out
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word, and for each text the index of its first word (and the count)."""
     if lower:
         data = LOWER[data]
     first, last, at = word_spans(data, offs)
-    if not len(first):
-        return np.empty(0, np.uint64), at
-    run = np.empty(len(data) + 1, np.uint64)
-    run[0] = 0
-    np.cumsum(_VALUE[data] * _power(_BASE, len(data))[: len(data)], out=run[1:])
-    hashes = (run[last] - run[first]) * _power(_INVERSE, len(data))[first]
-    return mix(hashes + (last - first).astype(np.uint64)), at
+    return span_hashes(data, first, last), at
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -14,11 +14,13 @@ order here puts the shingles that are very frequent in the corpus last (a
 count sketch of fixed size tells them). Sets that share such a shingle meet
 in a cell. Within a cell:
 
-1. every set is paired with the cell's smallest node only, pruned by the
-   bound, and verified on the sets: connected components come from that;
-2. the cells of one smallest node, where their members ended in several
-   components, are searched again by R-trees over blocks of their points,
-   for pairs of two components.
+1. the cells of one smallest node, the pivot, are put together; an R-tree
+   over the points of their members is asked for what may link with the
+   pivot, finer vectors and then the sets verify: connected components come
+   from that;
+2. the cells of a pivot whose members ended in several components are
+   searched again by R-trees over blocks of their points, for pairs of two
+   components.
 
 For components a pair in one component needs no second look, so connectivity
 is whole though not every link is looked at, and a group of g copies costs g
@@ -42,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.membership import bitmap_of, may_hold, slot_of
+from helixframe.llm.names import Named
 from helixframe.llm.text import chunks, shingle_sets
 from helixframe.operators.components import connected_components
 from helixframe.storage import materialize
@@ -95,7 +98,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - (n * num + den - 1) // den + 1
 
 
-_DESCRIBED = ["doc_id", "n", "node", "point", "middle", "fine", "slice", "counts"]
+_DESCRIBED = ["doc_id", "of", "n", "node", "point", "middle", "fine", "slice", "counts"]
 
 
 def _describe(k: int):
@@ -114,12 +117,12 @@ def _describe(k: int):
             sketch += np.bincount((np.concatenate(every) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array([v[i] for v in vectors], pa.binary()) for i in range(3)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [batch["doc_id"], batch["of"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array([v[i] for v in vectors], pa.binary()) for i in range(3)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=_DESCRIBED,
             )
         parts = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in np.split(sketch, SLICES)]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), *[pa.nulls(SLICES, pa.binary())] * 3, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())],
+            [*[pa.nulls(SLICES, pa.int64())] * 4, *[pa.nulls(SLICES, pa.binary())] * 3, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())],
             names=_DESCRIBED,
         )
 
@@ -259,11 +262,6 @@ class RTree:
 
 def _cross_pairs(nodes: np.ndarray, roots: np.ndarray, points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of pairs of a left and a right point of two components that the bound lets through."""
-    if len(left) * len(right) <= 4096:
-        most = np.minimum(points[left][:, None], points[right][None]).sum(axis=2)
-        hit = ((num + den) * most >= num * (sizes[left][:, None] + sizes[right][None])) & (roots[left][:, None] != roots[right][None])
-        x, y = np.nonzero(hit)
-        return left[x], right[y]
     tree = RTree(points[right], sizes[right])
     found = [tree.search(points[i], int(sizes[i]), num, den) for i in left]
     a, b = np.repeat(left, [len(f) for f in found]), right[np.concatenate(found)]
@@ -271,6 +269,27 @@ def _cross_pairs(nodes: np.ndarray, roots: np.ndarray, points: np.ndarray, sizes
     return a[apart], b[apart]
 
 
+def _pivot_pairs(num: int, den: int):
+    """(pivot, node) of the members that a tree over each block of a pivot's cells finds near the pivot, whose own point comes with every block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pivot", "i", "node"], kind="stable")
+        where = pdf[["pivot", "i"]].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1)]))
+        points, (pivots, nodes, sizes) = np.stack([point(x) for x in pdf["point"]]), (pdf[c].to_numpy() for c in ("pivot", "node", "n"))
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for begin, end in zip(first, np.append(first[1:], len(pdf)), strict=True):
+            own = nodes[begin:end] == pivots[begin]
+            lead, rest = begin + np.flatnonzero(own)[0], begin + np.flatnonzero(~own)
+            if len(rest):
+                found = rest[RTree(points[rest], sizes[rest]).search(points[lead], int(sizes[lead]), num, den)]
+                a.append(pivots[found])
+                b.append(nodes[found])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
 def _tree_pairs(num: int, den: int):
     """Of all cells and block pairs that were dealt to one group the pairs that coarse and then finer vectors let through.
 
@@ -376,8 +395,8 @@ def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     """docs cast, each row with its size and node, the nodes, and (node, pivot) of the nodes in cells that another node leads."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialize(docs.mapInArrow(_describe(k), "doc_id long, n long, node long, point binary, middle binary, fine binary, slice int, counts binary"), "described")
-    each = described.where("slice is null").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "point", "middle", "fine")
+    described = materialize(docs.withColumn("of", F.xxhash64("text")).mapInArrow(_describe(k), "doc_id long, of long, n long, node long, point binary, middle binary, fine binary, slice int, counts binary"), "described")
+    each = described.where("slice is null").select("doc_id", "of", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "point", "middle", "fine")
     nodes = materialize(each.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in ("point", "middle", "fine"))), "nodes")
 
     classes = spark.sparkContext.broadcast(_frequency_class(described))
@@ -390,13 +409,38 @@ def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     return docs, each, nodes, star
 
 
+def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (pivot, …) joined with sizes (pivot, every, …).
+
+    Pivots with more than a 65536th of all rows (so fewer than 65536 of them)
+    are broadcast, so that no pivot's rows meet in one task; the others are
+    small by that.
+    """
+    least = max(CELL_BLOCK, rows.count() >> 16)
+    hot = F.broadcast(sizes.where(F.col("every") > least))
+    rest = rows.join(hot.select("pivot"), "pivot", "left_anti").join(sizes.where(F.col("every") <= least), "pivot")
+    return rows.join(hot, "pivot").unionByName(rest)
+
+
+def _near_pivots(star: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pivots and the members of their cells that the trees find near them. A large cell is searched in blocks, in as many tasks."""
+    ni = F.ceil(F.col("every") / CELL_BLOCK).cast("int")
+    sizes = materialize(star.groupBy("pivot").agg(F.count("*").alias("every")).withColumn("ni", ni), "pivots")
+    members = _sized(star, sizes).select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("ni")).cast("int").alias("i"))
+    leads = sizes.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
+    groups = -(-(sizes.agg(F.sum(F.col("every") + F.col("ni"))).first()[0] or 0) // CELL_ROWS)
+    dealt = members.union(leads).join(nodes.select("node", "n", "point"), "node").withColumn("g", F.pmod(F.xxhash64("pivot", "i"), F.lit(max(1, groups))))
+    return dealt.groupBy("g").applyInPandas(_pivot_pairs(num, den), "a long, b long")
+
+
 def _searched(blocks: DataFrame, num: int, den: int, both: bool) -> DataFrame | None:
     """Distinct pairs that the trees find in blocks (pivot, ni, nj, minor, node, root, n, middle); None without rows.
 
     A large cell is dealt as pairs of its blocks. Where both sides are all
     members (ni = nj), a pair of blocks is searched once, i <= j.
     """
-    groups = -(-blocks.count() // CELL_ROWS)
+    dealt = F.when(F.col("nj") > 1, F.col("ni") + F.when(F.col("minor"), F.col("nj")).otherwise(0)).otherwise(1)
+    groups = -(-(blocks.agg(F.sum(dealt)).first()[0] or 0) // CELL_ROWS)
     if not groups:
         return None
     own, zero = F.xxhash64("node"), F.lit(0).cast("long")
@@ -424,9 +468,26 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int
     null component_id and link to nothing. Rows that repeat a doc_id each get
     a result of their own text. Other columns of docs are ignored.
     """
+    return _components(docs, k, num, den).drop("of")
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """docs, all columns, with the document of the smallest doc_id of each group of linked texts alone.
+
+    Rows are judged by their own text: of rows that repeat a doc_id with
+    different texts those go whose text links to a smaller doc_id. Rows with a
+    null doc_id or without words stay, as do repeated rows of the smallest.
+    """
+    gone = _components(docs, k, num, den).where("component_id <> doc_id").select("doc_id", "of").distinct()
+    own = Named(docs)
+    return own.back(own.df.join(gone, (own["doc_id"].cast("long") == F.col("doc_id")) & (F.xxhash64(own["text"].cast("string")) == F.col("of")), "left_anti"))
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """ngram_jaccard_components with of, a hash of each row's text."""
     docs, each, nodes, star = _routed(docs, k, num, den)
     links = _Links(docs, nodes, k, num, den)
-    found = materialize(links.verify(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "point", "fine"), "links")
+    found = materialize(links.verify(_near_pivots(star, nodes, num, den), "fine"), "links")
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # the cells of one pivot together; where all ended in one component, or none is left beside the pivot, nothing is open
@@ -434,15 +495,15 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int
     rows = materialize(_rooted(members, roots, "node").select("pivot", "node", "root"), "members")
     sizes = rows.groupBy("pivot", "root").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("most"))
     # a pair of two components has an end outside the largest one
-    sizes = sizes.where("every > 2 and every > most.c").select("pivot", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj"))
-    blocks = rows.join(sizes, "pivot").join(nodes.select("node", "n", "middle"), "node")
+    sizes = sizes.where("every > 2 and every > most.c").select("pivot", "every", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj"))
+    blocks = _sized(rows, materialize(sizes, "pivots")).join(nodes.select("node", "n", "middle"), "node")
     blocks = materialize(blocks.withColumn("minor", F.col("root") != F.col("main")), "cell-rows")
     pairs = _searched(blocks, num, den, both=False)
     if pairs is not None:
         again = links.verify(materialize(pairs.join(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti"), "pairs"), "fine")
         found = materialize(found.union(again), "links")
         roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return _named(each, nodes, roots)
+    return _named(each, nodes, roots, "of")
 
 
 def _named(each: DataFrame, nodes: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
@@ -464,9 +525,9 @@ def ngram_jaccard_links(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10
     docs, each, nodes, star = _routed(docs, k, num, den)
     rows = materialize(star.union(star.select("pivot", "pivot").distinct()), "members")
     width = F.ceil(F.col("every") / CELL_BLOCK).cast("int")
-    sizes = rows.groupBy("pivot").agg(F.count("*").alias("every")).select("pivot", width.alias("ni"), width.alias("nj"))
+    sizes = materialize(rows.groupBy("pivot").agg(F.count("*").alias("every")).select("pivot", "every", width.alias("ni"), width.alias("nj")), "pivots")
     # a root of its own for each node: every pair is a pair of two
-    blocks = rows.join(sizes, "pivot").join(nodes.select("node", "n", "middle"), "node").select("pivot", "ni", "nj", F.lit(True).alias("minor"), "node", F.col("node").alias("root"), "n", "middle")
+    blocks = _sized(rows, sizes).join(nodes.select("node", "n", "middle"), "node").select("pivot", "ni", "nj", F.lit(True).alias("minor"), "node", F.col("node").alias("root"), "n", "middle")
     pairs = _searched(materialize(blocks, "cell-rows"), num, den, both=True)
     if pairs is None:
         pairs = docs.sparkSession.createDataFrame([], "a long, b long")

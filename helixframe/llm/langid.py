@@ -24,15 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from helixframe.llm.names import Named
 from helixframe.llm.text import LOWER, SPACE, bytes_of, chunks, mix
 
 BUCKETS, DIMS = 1 << 16, 16
 SIZES = (2, 3, 4)
-SAMPLE_ROWS, LEAST_ROWS, WINDOWS, WINDOW_WORDS = 6000, 20, 2, 24
+SAMPLE_ROWS, LEAST_ROWS, WINDOWS, WINDOW_WORDS, WINDOW_BYTES = 6000, 20, 2, 24, 4096
 EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Step sizes of the softmax and of table rows against RATE, and the most that a row moves in a step.
 TOP_STEP, ROW_STEP, MOST_STEP = 3.0, 5.0, 1.0
@@ -191,47 +192,54 @@ def _thresholds(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WINDOWS windows of each row: words of at most WINDOW_BYTES bytes, from a place that the row's number picks."""
     for batch in batches:
         out = []
         for text, lang, pick in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), batch["pick"].to_pylist(), strict=True):
             words = text.split()
             for w in range(WINDOWS if words else 0):
                 at = (pick * (2 * w + 1) * 2654435761 >> 7) % max(1, len(words) - WINDOW_WORDS + 1)
-                out.append((" ".join(words[at : at + WINDOW_WORDS]), lang))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["text", "lang"])
+                out.append((" ".join(words[at : at + WINDOW_WORDS]).encode()[:WINDOW_BYTES].decode(errors="ignore"), lang, pick))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["text", "lang", "pick"])
 
 
 def train(docs: DataFrame, usable: Column) -> Model:
-    """A model of every language, learnt from the text and lang of usable rows; doc_id only picks the sample."""
-    rows = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    """A model of every language, learnt from the text and lang of usable rows.
+
+    The sample has windows of at most max(LEAST_ROWS, SAMPLE_ROWS / languages)
+    rows of each language, those of the smallest hashes of id and text; ties
+    and repeated rows are cut at that number, too.
+    """
+    rows = docs.where(usable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return fit([])
     per = max(LEAST_ROWS, SAMPLE_ROWS // len(counts))
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, per / n)) for lang, n in counts.items()], "lang string, __share double")
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    sample = rows.join(F.broadcast(shares), "lang").where(pick < F.col("__share") * (1 << 20)).select(F.col("text").cast("string").alias("text"), "lang", pick.alias("pick"))
-    return fit([(r["text"], r["lang"]) for r in sample.mapInArrow(_cut, "text string, lang string").collect()])
-
-
-_ADDED = ("lang_pred", "score", "rejected")
+    # first a share of twice as many rows as are wanted, so that few texts are ordered; the order then bounds the rows
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * per / n + 1e-4)) for lang, n in counts.items()], "lang string, share double")
+    rows = rows.withColumn("pick", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))).join(F.broadcast(shares), "lang").where(F.col("pick") <= F.col("share") * (1 << 20))
+    cut = rows.select("text", "lang", "pick").mapInArrow(_cut, "text string, lang string, pick long")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("pick", F.xxhash64("text")))
+    return fit([(r["text"], r["lang"]) for r in cut.withColumn("place", place).where(F.col("place") <= WINDOWS * per).select("text", "lang").collect()])
 
 
 def _predict(model):
+    """The columns but the last, the text, with lang_pred, score and rejected."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text", most=1 << 20):
-            names, score, rejected = model.value.predict(batch["__text"])
+        for batch in chunks(batches, "t", most=1 << 20):
+            names, score, rejected = model.value.predict(batch["t"])
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[:-1], *(f"__{c}" for c in _ADDED)])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
     return run
 
 
-def _judged(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns keep with __lang_pred, __score and __rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = StructType([*rows.schema.fields[:-1], StructField("__lang_pred", StringType()), StructField("__score", DoubleType()), StructField("__rejected", BooleanType())])
+def _judged(own: Named, model: Model, keep: list[str]) -> DataFrame:
+    """The renamed columns keep with lang_pred, score and rejected."""
+    sent = own.df.sparkSession.sparkContext.broadcast(model)
+    rows = own.df.select(*(own.name(c) for c in keep), own["text"].cast("string").alias("t"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
     return rows.mapInArrow(_predict(sent), schema)
 
 
@@ -239,17 +247,20 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns keep of docs with lang_pred, score and rejected.
 
     A null text or one without a letter is `und` with score 0 and rejected.
-    Empty tables give empty results; repeated rows are judged alike. docs may
-    have any other columns; those of keep named like the added ones are
-    replaced.
+    Of languages with equal scores the first in code point order is
+    predicted. Texts of any length count whole. Empty tables give empty
+    results; repeated rows are judged alike. docs may have any other columns;
+    those of keep named like the added ones are replaced.
     """
-    keep = [c for c in keep if c.lower() not in _ADDED]
-    return _judged(docs, model, keep).select(*keep, *(F.col(f"__{c}").alias(c) for c in _ADDED))
+    own = Named(docs)
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score", "rejected")]
+    return own.back(_judged(own, model, keep), keep, lang_pred=F.col("lang_pred"), score=F.col("score"), rejected=F.col("rejected"))
 
 
 def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns, without the rejected rows."""
-    return _judged(docs, model, docs.columns).where(~F.col("__rejected")).select(docs.columns)
+    """docs, all columns, without the rejected rows: those of a null text, one without a letter, or a score under the threshold for its length."""
+    own = Named(docs)
+    return own.back(_judged(own, model, docs.columns).where(~F.col("rejected")))
 
 
 def fold(column: str, parts: int) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.names import Named
 from helixframe.storage import materialize
 
 WIDTH = 3
@@ -44,24 +45,44 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "of", merged.alias("covered"))
 
 
-def dedup_lines(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
-    """docs with text cut down, and n_lines and n_removed (long) appended under the names added.
+def _cut(own: Named) -> DataFrame:
+    """The renamed table with cut (the text left), n_lines and n_removed."""
+    docs = own.df
+    covered = covered_lines(docs.select(own["doc_id"].alias("doc_id"), own["text"].alias("text")))
+    joined = docs.join(covered, (own["doc_id"] == F.col("doc_id")) & (F.xxhash64(own["text"]) == F.col("of")), "left")
+    worded = F.coalesce(_worded(own["text"]), F.array().cast("array<struct<i:int,x:string>>"))
+    gone = F.transform("covered", lambda c: F.get("w", c)["i"])
+    lines = _lines(own["text"])
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.when(F.col("covered").isNull(), own["text"]).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    n_removed = F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long")
+    return joined.withColumn("w", worded).select(*docs.columns, text.alias("cut"), F.size("w").cast("long").alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs with text cut down, and n_lines and n_removed (long) appended.
 
     Rows with a null doc_id or text, and texts of fewer than three worded
     lines, stay as they are. Rows that repeat doc_id and text are one
-    document: they get the same result. Columns of docs named like the added
-    ones are replaced; others, whatever their names, are kept.
+    document: they get the same result; of equal windows the first in the
+    order of doc_id and place stays. Lines and texts may be of any length.
+    Columns of docs named like the added ones are replaced; others, whatever
+    their names, are kept.
     """
-    columns = [c for c in docs.columns if c.lower() not in added]
-    covered = covered_lines(docs.select(F.col("doc_id"), F.col("text"))).select(F.col("doc_id").alias("__id"), F.col("of").alias("__of"), F.col("covered").alias("__covered"))
-    joined = docs.select(columns).join(covered, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__of")), "left")
-    worded = F.coalesce(_worded(F.col("text")), F.array().cast("array<struct<i:int,x:string>>"))
-    gone = F.transform("__covered", lambda c: F.get("__w", c)["i"])
-    lines = _lines(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn("__w", worded).select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in columns),
-        F.size("__w").cast("long").alias(added[0]),
-        F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).cast("long").alias(added[1]),
-    )
+    own = Named(docs)
+    cut = _cut(own).withColumn(own.name("text"), F.col("cut"))
+    return own.back(cut, n_lines=F.col("n_lines"), n_removed=F.col("n_removed"))
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs, all columns and no more, with text cut down as in dedup_lines; rows of which no line is left go.
+
+    n_chars, where docs has it, is the length of a text that was cut, in its
+    own type.
+    """
+    own = Named(docs)
+    cut = _cut(own).where("n_removed = 0 or n_removed < n_lines")
+    if "n_chars" in own:
+        kind = own.df.schema[own.name("n_chars")].dataType
+        cut = cut.withColumn(own.name("n_chars"), F.when(F.col("n_removed") > 0, F.length("cut").cast(kind)).otherwise(own["n_chars"]))
+    return own.back(cut.withColumn(own.name("text"), F.col("cut")))

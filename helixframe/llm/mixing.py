@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.llm.names import Named
 from helixframe.storage import materialize
 
 BUCKETS = 4096
@@ -104,13 +105,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     is a written table of one row each; Spark broadcasts it only below its
     own size threshold.
     """
-    added = ("size", "source_size", "target", "taken")
-    keep = [c for c in keep or docs.columns if c.lower() not in added]
-    needed = list(dict.fromkeys([*keep, "doc_id", "text", "source"]))
-    keyed = _keyed(docs.select(needed), seed)
+    own = Named(docs)
+    keyed = _keyed(own.df.select("*", own["doc_id"].alias("doc_id"), own["text"].alias("text"), own["source"].alias("source")), seed)
     plan = plan_sources(keyed, weights, share, most)
     chosen = (F.col("__bucket") < F.col("__end")) | ((F.col("__bucket") == F.col("__end")) & (F.struct("__key", "__id", "__size") <= F.col("__last")))
     extra = F.when(F.coalesce(chosen, F.lit(False)), F.col("__size")).otherwise(0)
-    return keyed.join(plan, F.col("source").eqNullSafe(F.col("__source"))).select(
-        *keep, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__epochs") * F.col("__size") + extra).cast("long").alias("taken")
-    )
+    joined = keyed.join(plan, F.col("source").eqNullSafe(F.col("__source")))
+    return own.back(joined, keep, size=F.col("__size"), source_size=F.col("__source_size"), target=F.col("__target"), taken=(F.col("__epochs") * F.col("__size") + extra).cast("long"))

@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PREFIX_DIGITS = 8
+from helixframe.llm.names import Named
+
+PREFIX_DIGITS, SALTS = 8, 16
 Rule = tuple[str, str, str]
 
 
@@ -52,31 +54,26 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", keep:
     fits an empty host. Rules with a null field are ignored. Repeated rows
     are judged alike; other columns of pages are kept, those named like the
     added ones are replaced. Distinct URLs are judged once each, so a hot URL
-    is one row of the join; of rules only the lengths of their paths, at most
-    as many as the longest path has characters, come to the driver.
+    is one row of the join; an expression that very many URLs have meets its
+    rule in SALTS tasks. URLs may be of any length: of a host only suffixes of
+    as many labels as some rule's host has are made, of a path only prefixes
+    of the lengths of rules' paths. These numbers alone, at most as many as
+    the longest rule has labels and characters, come to the driver.
     """
-    added = ("host", "path", "rule", "verdict")
-    keep = [c for c in keep or pages.columns if c.lower() not in added]
+    own = Named(pages)
     rules = rules.where("host is not null and path is not null and action is not null").select("host", "path", "action").distinct()
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
-
-    urls = pages.where("url is not null").select(F.col("url").alias("__url")).distinct()
-    parts = urls.select("__url", host_of(F.col("__url")).alias("h"), path_of(F.col("__url")).alias("p")).where("h <> ''")
-    labels = F.split("h", "\\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    cuts = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("p"))
-    prefixes = F.transform(cuts, lambda n: F.substring(F.col("p"), F.lit(1), n))
-    spread = parts.select("__url", F.explode(suffixes).alias("xh"), prefixes.alias("xps")).select("__url", "xh", F.explode("xps").alias("xp"))
-    hashed = spread.withColumn("full", _digest(F.col("xh"), F.col("xp"))).withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
-    listed = rules.withColumn("rule_full", _digest(F.col("host"), F.col("path"))).withColumn("short", F.substring("rule_full", 1, PREFIX_DIGITS))
-
-    fits = hashed.join(listed, "short").where("full = rule_full and xh = host and xp = path")
+    sizes = rules.agg(F.collect_set(F.size(F.split("host", "\\.", -1))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
+
+    urls = own.df.where(own["url"].isNotNull()).select(own["url"].alias("url")).distinct()
+    parts = urls.select("url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p")).where("h <> ''").withColumn("n", F.size(F.split("h", "\\.", -1)))
+    suffixes = F.array_compact(F.array(*(F.when(F.col("n") >= n, F.substring_index("h", ".", -n)) for n in sorted(sizes["labels"]))).cast("array<string>"))
+    prefixes = F.array_compact(F.array(*(F.when(F.length("p") >= n, F.substring("p", 1, n)) for n in sorted(sizes["lengths"]))).cast("array<string>"))
+    spread = parts.select("url", F.explode(suffixes).alias("xh"), prefixes.alias("xps")).select("url", "xh", F.explode("xps").alias("xp"))
+    hashed = spread.withColumn("full", _digest(F.col("xh"), F.col("xp"))).withColumn("short", F.substring("full", 1, PREFIX_DIGITS)).withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
+    listed = rules.withColumn("rule_full", _digest(F.col("host"), F.col("path"))).withColumn("short", F.substring("rule_full", 1, PREFIX_DIGITS)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+    fits = hashed.join(listed, ["short", "salt"]).where("full = rule_full and xh = host and xp = path")
     score = F.struct((F.length("host") + F.length("path")).alias("n"), F.length("path").alias("np"), F.when(F.col("action") == "block", 1).otherwise(0).alias("strict"), "host", "path", "action")
-    best = fits.groupBy("__url").agg(F.max(score).alias("b")).select("__url", F.concat("b.host", "b.path").alias("__rule"), F.col("b.action").alias("__action"))
-    return pages.join(best, F.col("url") == F.col("__url"), "left").select(
-        *keep,
-        host_of(F.col("url")).alias("host"),
-        path_of(F.col("url")).alias("path"),
-        F.col("__rule").alias("rule"),
-        F.coalesce("__action", F.lit(default)).alias("verdict"),
-    )
+    best = fits.groupBy("url").agg(F.max(score).alias("b")).select("url", F.concat("b.host", "b.path").alias("rule"), F.col("b.action").alias("action"))
+    judged = own.df.join(best, own["url"] == F.col("url"), "left")
+    return own.back(judged, keep, host=host_of(own["url"]), path=path_of(own["url"]), rule=F.col("rule"), verdict=F.coalesce("action", F.lit(default)))

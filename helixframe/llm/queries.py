@@ -35,7 +35,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(_table(spark, sf_dir, "documents"))
+    judged = quality.judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op7_lm_score."""
+    return score_texts(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = langid.fold("doc_id", 5) == 0
@@ -71,14 +77,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op1_ngram_links, op2_warc, op3_quality, op4_decontaminate, op5_mixing, op6_suffix_dedup, op7_lm_score, op8_langid, op9_line_dedup, op10_url_filter)
+    f.__name__: f for f in (op1_ngram_jaccard, op1_ngram_links, op2_warc, op3_quality, op4_decontaminate, op5_mixing, op6_suffix_dedup, op7_lm_score, op7_lm_base, op8_langid, op9_line_dedup, op10_url_filter)
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": oracles.OP1,
     "op1_ngram_links": oracles.OP1_LINKS,
     "op2_warc": oracles.OP2,
+    "op3_quality": oracles.OP3,
     "op4_decontaminate": oracles.OP4,
     "op5_mixing": oracles.OP5,
+    "op6_suffix_dedup": oracles.OP6,
+    "op7_lm_base": oracles.OP7_BASE,
     "op9_line_dedup": oracles.OP9,
     "op10_url_filter": oracles.OP10,
 }

@@ -11,38 +11,34 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import langid
 from helixframe.llm.decontaminate import drop_contaminated
-from helixframe.llm.line_dedup import dedup_lines
+from helixframe.llm.line_dedup import drop_repeated_lines
 from helixframe.llm.mixing import mix_sources
-from helixframe.llm.ngram_join import ngram_jaccard_components
+from helixframe.llm.ngram_join import drop_near_copies
 from helixframe.storage import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; a null text, one without a letter or an unsure prediction goes."""
+    """Documents whose language is recognised; a null text, one without a letter or an unsure prediction goes. Ties go to the first language; texts count whole."""
     return langid.keep_recognised(docs, langid.train(docs, F.lit(True)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; those with nothing left go. n_chars follows the text."""
-    cut = dedup_lines(docs, ("__n_lines", "__n_removed")).where("__n_removed = 0 or __n_removed < __n_lines")
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+    """Documents without lines that repeat earlier ones, in the order of doc_id; those with nothing left go, null texts and ids stay. n_chars follows the text."""
+    return drop_repeated_lines(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows with a null id stay."""
-    groups = ngram_jaccard_components(docs, k=5, num=8, den=10)
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The document with the smallest id of each group of near copies, by five words and a similarity of 0.8; rows with a null id, or without words, stay."""
+    return drop_near_copies(docs, k=5, num=8, den=10)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; rows with a null id or text stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, num=8, den=10)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with size, source_size, target and taken."""
+    """Documents that the mix takes words of, with size, source_size, target and taken; those without words go."""
     return mix_sources(docs, weights=(3, 1, 2), share=1.5, most=2.0).where("taken > 0")
 
 

@@ -21,6 +21,7 @@ fixed bound.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +71,18 @@ class Sketches:
             if len(members):
                 by_size.setdefault(len(members).bit_length(), []).append(i)
         self.partitions = [Partition(self.sets, by_size[b], num, den) for b in sorted(by_size)]
-        #: Which partitions may hold a value, by its lowest bits; one look tells for all.
-        self.slots = np.zeros(_SLOTS, np.uint32)
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """Which partitions may hold a value, by its lowest bits: one look tells for all. Made where it is used, so it isn't sent."""
+        found = np.zeros(_SLOTS, np.uint16)
         for p, part in enumerate(self.partitions):
-            self.slots[self._slot(part.values)] |= np.uint32(1 << p)
+            found[self._slot(part.values)] |= self._bit(p)
+        return found
+
+    @staticmethod
+    def _bit(p: int) -> np.uint16:
+        return np.uint16(1 << min(p, 15))
 
     @staticmethod
     def _slot(values: np.ndarray) -> np.ndarray:
@@ -85,7 +94,7 @@ class Sketches:
         maybe = self.slots[self._slot(every)]
         some = np.flatnonzero(maybe)
         for p, part in enumerate(self.partitions):
-            spots = some[(maybe[some] >> np.uint32(p) & np.uint32(1)).astype(bool)]
+            spots = some[(maybe[some] & self._bit(p)) > 0]
             spots = part.hits(every, spots[sizes[owner[spots]] >= part.least])
             for row in np.unique(owner[spots]):
                 out.setdefault(int(row), set()).update(part.owners_of(np.unique(every[spots[owner[spots] == row]])))

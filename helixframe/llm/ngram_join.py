@@ -61,7 +61,7 @@ BLOCK, PART = 400_000, 1_000_000
 #: Points of a cell that are searched together.
 CELL_BLOCK = 512
 #: Rows of such cells that one task should get together.
-CELL_ROWS = 50_000
+CELL_ROWS = 25_000
 LEAF = 16
 
 
@@ -277,14 +277,17 @@ def _pivot_pairs(num: int, den: int):
         where = pdf[["pivot", "i"]].to_numpy()
         first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(axis=1)]))
         points, (pivots, nodes, sizes) = np.stack([point(x) for x in pdf["point"]]), (pdf[c].to_numpy() for c in ("pivot", "node", "n"))
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for begin, end in zip(first, np.append(first[1:], len(pdf)), strict=True):
-            own = nodes[begin:end] == pivots[begin]
-            lead, rest = begin + np.flatnonzero(own)[0], begin + np.flatnonzero(~own)
-            if len(rest):
-                found = rest[RTree(points[rest], sizes[rest]).search(points[lead], int(sizes[lead]), num, den)]
-                a.append(pivots[found])
-                b.append(nodes[found])
+        size = np.diff(np.append(first, len(pdf)))
+        lead = np.repeat(np.flatnonzero(nodes == pivots), size)  # each block has its pivot once
+        # a tree of one leaf has only the leaf's own test, which is made for all such trees at once
+        rest = np.flatnonzero((nodes != pivots) & (np.repeat(size, size) <= LEAF + 1))
+        hit = (num + den) * np.minimum(points[rest], points[lead[rest]]).sum(axis=1) >= num * (sizes[rest] + sizes[lead[rest]])
+        a, b = [pivots[rest[hit]]], [nodes[rest[hit]]]
+        for begin, n in zip(first[size > LEAF + 1], size[size > LEAF + 1], strict=True):
+            rest = begin + np.flatnonzero(nodes[begin : begin + n] != pivots[begin])
+            found = rest[RTree(points[rest], sizes[rest]).search(points[lead[begin]], int(sizes[lead[begin]]), num, den)]
+            a.append(pivots[found])
+            b.append(nodes[found])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run

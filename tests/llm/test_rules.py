@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -101,9 +102,7 @@ def test_trees_give_the_candidates(spark, monkeypatch):
     search = ngram_join.RTree.search
     monkeypatch.setattr(ngram_join.RTree, "search", lambda self, *a: asked.append(1) or search(self, *a))
     base = [f"w{i}" for i in range(50)]
-    frame = [(5, 0, i, sum(1 for _ in base), ngram_join.count_vectors(np.unique(tx.mix(np.arange(i, 50 + i, dtype=np.uint64))))[0]) for i in (5, 6, 7, 40)]
-    import pandas as pd
-
+    frame = [(5, 0, i, sum(1 for _ in base), ngram_join.count_vectors(np.unique(tx.mix(np.arange(i, 50 + i, dtype=np.uint64))))[0]) for i in (5, 6, 7, *range(40, 70))]
     pdf = pd.DataFrame(frame, columns=["pivot", "i", "node", "n", "point"])
     got = ngram_join._pivot_pairs(8, 10)(pdf)
     assert sorted(zip(got["a"], got["b"], strict=True)) == [(5, 6), (5, 7)] and asked

@@ -45,16 +45,15 @@ def align(a: str, b: str, free_start: bool = False) -> tuple[str, str, int]:
     return "".join(x[::-1]), "".join(y[::-1]), int(score[-1, -1])
 
 
-def penalty(a: str, quality: str, b: str) -> float:
-    """What the mismatches of an alignment cost: min(20, quality) * min(40, place) / 40 each; gaps within runs are free."""
+def penalty(a: str, quality: str, b: str) -> int:
+    """What the mismatches of an alignment cost: min(20, quality) * min(40, place) / 40 each, in whole numbers, and nothing past the qualities; gaps within runs are free."""
     x, y, _ = align(a, b)
-    total, at = 0.0, 0
+    total, at = 0, 0
     for p, (c, d) in enumerate(zip(x, y, strict=True)):
         if c != d and "N" not in (c, d):
             run = (c == "-" and p and y[p - 1] == d) or (d == "-" and p and x[p - 1] == c)
             if not run:
-                q = ord(quality[min(at, len(quality) - 1)]) - 33 if quality else 20
-                total += min(20, q) * min(40, at) / 40
+                total += min(20, ord(quality[at]) - 33) * min(40, at) // 40 if at < len(quality) else 0
         at += c != "-"
     return total
 
@@ -70,8 +69,8 @@ def global_alignment(a: Column, b: Column) -> Column:
 
 
 def duplicate_penalty(seq: Column, quality: Column, lead: Column) -> Column:
-    @F.pandas_udf("double")
+    @F.pandas_udf("long")
     def run(x: pd.Series, q: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if a == b else penalty(a, c or "", b) for a, c, b in zip(x, q, y, strict=True)], dtype="float64")
+        return pd.Series([0 if a == b else penalty(a, c or "", b) for a, c, b in zip(x, q, y, strict=True)], dtype="int64")
 
     return run(seq, quality, lead)

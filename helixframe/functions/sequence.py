@@ -45,6 +45,14 @@ def end_homopolymer(seq: Column, right: bool) -> Column:
     return F.length(F.regexp_extract(seq, "(.)\\1*$" if right else "^(.)\\1*", 0))
 
 
+def homopolymer_length(seq: Column, right: bool) -> Column:
+    """Length of the run at one end and one more; with a second run of two or more beside it, both and one more; 0 for neither."""
+    runs = homopolymer_runs(seq)
+    n = F.size(runs)
+    size = lambda i: F.coalesce(F.length(F.get(runs, (n - 1 - i) if right else F.lit(i))), F.lit(0))
+    return F.when(size(1) > 1, size(0) + size(1) + 1).when(size(0) > 1, size(0) + 1).otherwise(0)
+
+
 def overlap_length(left: Column, right: Column, least: int) -> Column:
     """Longest tail of left that is a head of right, at least `least` and with least under right's length; else 0."""
     found = F.filter(
@@ -111,9 +119,8 @@ def mate_id(read_id: Column, orientation: Column) -> Column:
 
 def mate_direction(read_id: Column, orientation: Column) -> Column:
     """1 where the mate lies to the right, 0 to the left, 2 without a mate."""
-    second, reverse = F.shiftright(read_id, 1).bitwiseAND(F.lit(1)), read_id.bitwiseAND(F.lit(1))
-    inward = (reverse == 0).cast("int")
-    return F.when(orientation == 1, (second == reverse).cast("int")).when(orientation == 2, inward).when(orientation == 3, 1 - inward).otherwise(2)
+    reverse = read_id.bitwiseAND(F.lit(1)).cast("int")
+    return F.when(orientation.isin(1, 2), 1 - reverse).when(orientation == 3, reverse).otherwise(2)
 
 
 def library_min(size: Column) -> Column:

@@ -51,7 +51,7 @@ def cull_branches(branches: DataFrame, least_reads: int = 2, cutoff: int = 0) ->
     strong = branches.where(F.col("n_reads") >= least_reads)
     per = Window.partitionBy("q_id")
     counted = strong.withColumn("n", F.count("*").over(per)).withColumn("top_reads", F.max("n_reads").over(per)).withColumn("top_over", F.max("max_over").over(per))
-    dominated = (F.col("top_over") > F.col("max_over") + 2 * cutoff) if cutoff else (F.col("top_reads") > 5 * F.col("n_reads"))
+    dominated = (F.col("top_over") > F.col("max_over") + 2 * cutoff) if cutoff else (F.col("top_reads") >= 5 * F.col("n_reads"))
     return counted.where(((F.col("n") < GIVE_UP_BRANCHES) | (F.col("top_reads") >= 5)) & ~dominated).drop("n", "top_reads", "top_over")
 
 

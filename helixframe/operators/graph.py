@@ -107,13 +107,29 @@ def open_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def merge_distances(marks: DataFrame, key: str, value: str, gap: int = MERGE_DISTANCE) -> DataFrame:
-    """(key, low, high, n): values at most gap apart from the one before form an interval."""
+    """(key, low, high, n): values less than gap apart from the one before form an interval."""
     order = Window.partitionBy(key).orderBy(value)
-    fresh = F.when(F.col(value) - F.lag(value).over(order) <= gap, 0).otherwise(1)
+    fresh = F.when(F.col(value) - F.lag(value).over(order) < gap, 0).otherwise(1)
     island = marks.select(key, value).withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(key, "island").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n")).drop("island")
 
 
+def interval_diff(intervals: DataFrame, estimates: DataFrame, key: str, value: str, right: bool = True) -> DataFrame:
+    """(key, value, diff) of estimates (key, value): 0 inside an interval (key, low, high), else the signed way to the nearest border, the lower one of two.
+
+    Rightward the way is the border less the estimate, leftward the reverse.
+    Keys without an interval are left out.
+    """
+    marks = intervals.select(key, F.col("low").alias("at"), "low", "high", F.lit(None).cast("long").alias("est"))
+    asked = estimates.select(key, F.col(value).alias("at"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), F.col(value).cast("long").alias("est")).distinct()
+    order = Window.partitionBy(key).orderBy("at", F.col("est").isNotNull())
+    behind = F.last("high", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("low", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    found = marks.union(asked).select(key, "est", (behind - F.col("est")).alias("b"), (ahead - F.col("est")).alias("a")).where("est is not null and (a is not null or b is not null)")
+    way = F.when(F.col("b") >= 0, 0).when(F.col("a").isNull() | (-F.col("b") <= F.col("a")), F.col("b")).otherwise(F.col("a"))
+    return found.select(key, F.col("est").alias(value), (way if right else -way).cast("long").alias("diff"))
+
+
 def furthest(marks: DataFrame, key: str, value: str, top: int = 3) -> DataFrame:
     """(key, limits): the `top` largest values, largest first; each task keeps `top` of a key before the shuffle."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value)))
@@ -125,12 +141,12 @@ def chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, chain, place): unary chains, named by their first node; place counts from 0.
 
     An edge is inside a chain when it is its source's only way out and its
-    target's only way in. Places come from pointer doubling over those links,
+    target's only way in, and its ends overlap (ol > 0). Places come from pointer doubling over those links,
     so long chains take a logarithmic number of rounds. Nodes of cycles
     without an entry are a chain each that begins at their smallest node.
     """
     deg = degrees(edges)
-    inner = edges.join(deg.where("n_out = 1").select(F.col("node").alias("src")), "src", "left_semi").join(deg.where("n_in = 1").select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").where("src <> dst")
+    inner = edges.join(deg.where("n_out = 1").select(F.col("node").alias("src")), "src", "left_semi").join(deg.where("n_in = 1").select(F.col("node").alias("dst")), "dst", "left_semi").where("src <> dst and ol > 0").select("src", "dst")
     inner = materialize(inner, "links")
     groups = connected_components(inner.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     named = nodes.select("node").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -9,16 +9,16 @@ from helixframe.functions.sequence import mate_id
 from helixframe.params import MAX_LIBRARIES, RELIABLE_READS, VERIFIED_HITS
 
 
-def redundant(placed: DataFrame, bin_size: int = 128) -> DataFrame:
-    """placed (node, read_no, start, end) with redundant: another read's interval contains it.
+def redundant(placed: DataFrame, read_length: int) -> DataFrame:
+    """placed (node, read_no, start, end) with redundant: a strictly longer interval of another read contains it. Full-length reads never are.
 
-    Of equal intervals the smallest read_no is not redundant. An interval
-    that contains another begins at or before it; the furthest end among
-    earlier intervals in the order (start, -end, read_no) tells, so one
-    running maximum replaces a range join.
+    Distinct intervals of a node are put in the order (start, -end): those
+    before begin at or before an interval's start, and the furthest of their
+    ends tells, so one running maximum replaces a range join.
     """
-    order = Window.partitionBy("node").orderBy("start", F.desc("end"), "read_no").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("redundant", F.coalesce(F.max("end").over(order) >= F.col("end"), F.lit(False)))
+    order = Window.partitionBy("node").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.select("node", "start", "end").distinct().withColumn("inside", F.coalesce(F.max("end").over(order) >= F.col("end"), F.lit(False)))
+    return placed.join(inside, ["node", "start", "end"]).withColumn("redundant", F.col("inside") & (F.col("end") - F.col("start") != read_length)).drop("inside")
 
 
 def depth(placed: DataFrame) -> DataFrame:
@@ -42,6 +42,20 @@ def densest_window(marks: DataFrame, key: str, value: str, width: int) -> DataFr
     return best.select(key, (-F.col("b.back")).alias("at"), F.col("b.n").alias("n"))
 
 
+def misassembled(marks: DataFrame, key: str, value: str, width: int, cutoff: int) -> DataFrame:
+    """(key, begin, end): the first stretch of less than width that holds a mark and `cutoff` more, up to its last mark."""
+    order = Window.partitionBy(key).orderBy(value)
+    ahead = marks.select(key, value).withColumn("ahead", F.lead(value, cutoff).over(order))
+    begin = ahead.where(F.col("ahead") - F.col(value) < width).groupBy(key).agg(F.min(value).alias("begin"))
+    return marks.join(begin, key).where((F.col(value) >= F.col("begin")) & (F.col(value) - F.col("begin") < width)).groupBy(key, "begin").agg(F.max(value).alias("end"))
+
+
+def misassembly_window(read_length: int, mean: int, cover: float) -> tuple[int, int]:
+    """Width and cutoff for misassembled from the mean distance and the cover of paired-end libraries."""
+    width = max(read_length, mean // 2)
+    return width, int(max(3.0, width * cover / (read_length * 6)))
+
+
 def estimate(pe: Column, mp: Column) -> Column:
     """Median of paired-end estimates, else of mate-pair ones: the mean of the middle two, whole."""
 
@@ -57,6 +71,17 @@ def node_coverage(n_reads: Column, length: Column, read_length: int, cover: floa
     return F.when(n_reads < 3, F.lit(float(cover))).otherwise((n_reads - 2) * read_length / length)
 
 
+def length_for_coverage(length: Column, best_left: Column, best_right: Column, read_length: int) -> Column:
+    """length less half of the best overlaps on both sides; a side without an edge counts a read, or the node if that is shorter. At least 1."""
+    open_end = F.least(length, F.lit(read_length))
+    return F.greatest(length - F.floor((F.coalesce(best_left, open_end) + F.coalesce(best_right, open_end)) / 2), F.lit(1)).cast("int")
+
+
+def copies(n_reads: Column, covered_length: Column, read_length: int, spacing: float, cover: float) -> Column:
+    """How many copies a node's reads stand for: three more reads over three more spacings, against 0.7 of the cover."""
+    return (n_reads + 3) * read_length / (covered_length + spacing * 3) / (cover * 0.7)
+
+
 def is_single_copy(n_reads: Column, coverage: Column, length: Column, read_length: int, cover: float) -> Column:
     return (n_reads >= RELIABLE_READS) & (coverage < cover * (1.4 + F.least(F.lit(0.4), length / (20.0 * read_length))))
 
@@ -104,12 +129,14 @@ def best_clone(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("place", place).where("place = 1").drop("place")
 
 
-def next_read(placed: DataFrame, marks: DataFrame) -> DataFrame:
-    """(node, mark, next_start): the first start after each mark (node, mark); null past the last."""
-    both = placed.select("node", F.col("start").alias("at"), F.lit(None).cast("long").alias("mark")).union(marks.select("node", F.col("mark").alias("at"), F.col("mark").cast("long")))
+def next_read(placed: DataFrame, marks: DataFrame, nodes: DataFrame, right: bool = True) -> DataFrame:
+    """(node, mark, next): the first start after each mark (node, mark), or the node's end (nodes: node, begin, end) where that comes first or no read starts; leftward the last end before it, or the node's begin."""
+    sign, edge, limit = (1, "start", "end") if right else (-1, "end", "begin")
+    both = placed.select("node", (sign * F.col(edge)).alias("at"), F.lit(None).cast("long").alias("mark")).union(marks.select("node", sign * F.col("mark"), F.col("mark").cast("long")))
     order = Window.partitionBy("node").orderBy("at", F.col("mark").isNull().cast("int").desc()).rowsBetween(1, Window.unboundedFollowing)
-    ahead = F.min(F.when(F.col("mark").isNull(), F.col("at"))).over(order)
-    return both.withColumn("next_start", ahead).where("mark is not null").select("node", "mark", "next_start")
+    ahead = F.first(F.when(F.col("mark").isNull(), F.col("at")), True).over(order)
+    found = both.withColumn("ahead", ahead).where("mark is not null").join(nodes.select("node", (sign * F.col(limit)).alias("last")), "node")
+    return found.select("node", "mark", (sign * F.least("ahead", "last")).alias("next"))
 
 
 def path_pair_score(hits: DataFrame, distances: DataFrame, margin: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import calibrate, correct, graph, index, mapping, placement, views
+from helixframe.operators import assembly, calibrate, correct, extension, graph, index, mapping, placement, views
 from helixframe.params import library_window
 
 QUERIES, ORACLES = {}, {}
@@ -87,21 +87,23 @@ def read_length_filter(spark, sf_dir):
 
 
 @query(f"""WITH {SEQUENCES}, e AS (SELECT read_no, seq, reverse(seq) AS b FROM reads)
-SELECT read_no, length(regexp_extract(seq, '(A+|C+|G+|T+)$', 1))::INT AS tail, coalesce((SELECT sum(greatest(length(x) - 2, 0)) FROM unnest(regexp_extract_all(seq, '(A+|C+|G+|T+)', 1)) t(x)), 0)::BIGINT AS score FROM e""")
+SELECT read_no, length(regexp_extract(seq, '(A+|C+|G+|T+)$', 1))::INT AS tail,
+(SELECT CASE WHEN r2 > 1 THEN r1 + r2 + 1 WHEN r1 > 1 THEN r1 + 1 ELSE 0 END FROM (SELECT length(x[-1]) AS r1, coalesce(length(x[-2]), 0) AS r2 FROM (SELECT regexp_extract_all(seq, '(A+|C+|G+|T+)', 1) AS x)))::INT AS tail_run,
+(SELECT CASE WHEN r2 > 1 THEN r1 + r2 + 1 WHEN r1 > 1 THEN r1 + 1 ELSE 0 END FROM (SELECT length(x[1]) AS r1, coalesce(length(x[2]), 0) AS r2 FROM (SELECT regexp_extract_all(seq, '(A+|C+|G+|T+)', 1) AS x)))::INT AS head_run, coalesce((SELECT sum(greatest(length(x) - 2, 0)) FROM unnest(regexp_extract_all(seq, '(A+|C+|G+|T+)', 1)) t(x)), 0)::BIGINT AS score FROM e""")
 def seq_homopolymer(spark, sf_dir):
     r = views.reads(docs(spark, sf_dir))
-    return r.select("read_no", S.end_homopolymer(F.col("seq"), True).alias("tail"), S.homopolymer_score(F.col("seq")).cast("long").alias("score"))
+    return r.select("read_no", S.end_homopolymer(F.col("seq"), True).alias("tail"), S.homopolymer_length(F.col("seq"), True).alias("tail_run"), S.homopolymer_length(F.col("seq"), False).alias("head_run"), S.homopolymer_score(F.col("seq")).cast("long").alias("score"))
 
 
 _STRANDED = f"{READS}, stranded AS (SELECT read_no * 2 + v AS read_id FROM reads, (VALUES (0), (1)) s(v))"
 
 
 @query(f"""WITH {_STRANDED} SELECT read_id, xor(read_id, 1) AS rev_id, xor(read_id, 2) AS mate_ff, xor(read_id, 3) AS mate_fr,
-CASE WHEN read_id & 1 = 0 THEN 1 ELSE 0 END AS direction_fr FROM stranded""")
+CASE WHEN read_id & 1 = 0 THEN 1 ELSE 0 END AS direction_ff, CASE WHEN read_id & 1 = 0 THEN 1 ELSE 0 END AS direction_fr, (read_id & 1)::INT AS direction_rf, 2 AS direction_none FROM stranded""")
 def mate_ids(spark, sf_dir):
     r = views.stranded(views.reads(docs(spark, sf_dir)))
     i = F.col("read_id")
-    return r.select("read_id", S.reverse_id(i).alias("rev_id"), S.mate_id(i, F.lit(1)).alias("mate_ff"), S.mate_id(i, F.lit(2)).alias("mate_fr"), S.mate_direction(i, F.lit(2)).alias("direction_fr"))
+    return r.select("read_id", S.reverse_id(i).alias("rev_id"), S.mate_id(i, F.lit(1)).alias("mate_ff"), S.mate_id(i, F.lit(2)).alias("mate_fr"), *(S.mate_direction(i, F.lit(o)).alias(f"direction_{n}") for o, n in ((1, "ff"), (2, "fr"), (3, "rf"), (0, "none"))))
 
 
 _LIBS = "libs(lib_id, begin_id, end_id, orientation, insert_size) AS (VALUES (1, 0, 20000000, 2, 300), (2, 20000000, 100000000, 3, 2500))"
@@ -173,15 +175,15 @@ def overlap_best_per_id(spark, sf_dir):
     return mapping.best_overlaps(mapping.overlap_join(views.reads(docs(spark, sf_dir)), 45))
 
 
-@query(f"""WITH {_OVERLAPS}, o AS (SELECT q.read_no AS q_id, t.read_no, over_len, 100 - over_len AS ext_len FROM ov JOIN reads q ON q.seq = q_seq JOIN reads t ON t.seq = t_seq)
+@query(f"""WITH {_OVERLAPS}, o AS (SELECT q.read_no AS q_id, t.read_no, max(over_len) AS over_len, 100 - max(over_len) AS ext_len FROM ov JOIN reads q ON q.seq = q_seq JOIN reads t ON t.seq = t_seq GROUP BY 1, 2)
 SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY q_id ORDER BY ext_len DESC, over_len DESC, read_no))::INT AS place FROM o) WHERE place <= 20""")
 def overlap_top(spark, sf_dir):
     return mapping.top_overlaps(mapping.overlap_join(views.reads(docs(spark, sf_dir)), 45), 20)
 
 
-@query(f"WITH {_OVERLAPS}, p AS (SELECT DISTINCT q_seq, t_seq, n_reads FROM ov WHERE over_len >= 60) SELECT read_no, coalesce(n, 0)::BIGINT AS n FROM reads LEFT JOIN (SELECT q_seq, sum(n_reads) AS n FROM p GROUP BY 1) ON q_seq = seq")
+@query(f"WITH {_OVERLAPS}, p AS (SELECT q_seq, t_seq, n_reads FROM ov WHERE over_len >= 50) SELECT read_no, coalesce(n, 0)::BIGINT AS n FROM reads LEFT JOIN (SELECT q_seq, sum(n_reads) AS n FROM p GROUP BY 1) ON q_seq = seq")
 def extendable_ends(spark, sf_dir):
-    return mapping.extendable(views.reads(docs(spark, sf_dir)), 60)
+    return mapping.extendable(views.reads(docs(spark, sf_dir)), 50)
 
 
 @query(f"WITH {SEQUENCES} SELECT x.node_id AS a, y.node_id AS b, hamming(x.seq, y.seq)::INT AS mismatches FROM sequences x JOIN sequences y ON x.node_id < y.node_id AND hamming(x.seq, y.seq) <= 9")
@@ -191,28 +193,31 @@ def map_hamming(spark, sf_dir):
 
 # --- calibration
 
-_MATES = f"{READS}, mates AS (SELECT (doc_id % 3)::INT AS lib_id, 40 * a.k AS a_start, 40 * b.k + 100 AS b_end, a.k % 11 AS turn, 340 - 40 * 1 + (a.k % 9) * 5 AS d FROM reads a JOIN (SELECT doc_id AS d2, k FROM reads) b ON doc_id = d2 AND b.k = a.k + 5)"
-
-
 def _placements(spark, sf_dir):
-    """Both mates of every pair on their document; one pair in eleven has both mates on one strand, and starts are shifted so that distances vary."""
-    r = views.reads(docs(spark, sf_dir))
-    p = views.pairs(r)
-    shift = (F.col("k") % 9) * 5
-    first = F.struct((F.col("pair_no") * 4).alias("read_id"), (F.col("k") * 40).alias("start"), (F.col("k") * 40 + 100).alias("end"))
-    second = F.struct((F.col("pair_no") * 4 + 2 + F.when(F.col("k") % 11 == 0, 0).otherwise(1)).alias("read_id"), (F.col("k") * 40 + 200 - shift).alias("start"), (F.col("k") * 40 + 300 - shift).alias("end"))
+    """Both mates of every pair on their document. By turn (k % 11) the mates are both forward, both reverse, one inside the other, facing away, and else facing each other; distances vary."""
+    p = views.pairs(views.reads(docs(spark, sf_dir)))
+    turn, shift, base = F.col("k") % 11, (F.col("k") % 9) * 5, F.col("k") * 40
+    rev = F.when(turn.isin(1, 3), 1).otherwise(0), F.when(turn.isin(0, 3), 0).otherwise(1)
+    first = F.struct((F.col("pair_no") * 4 + rev[0]).alias("read_id"), base.alias("start"), (base + 100).alias("end"))
+    second = F.struct((F.col("pair_no") * 4 + 2 + rev[1]).alias("read_id"), F.when(turn == 2, base + 10).otherwise(base + 200 - shift).alias("start"), F.when(turn == 2, base + 90).otherwise(base + 300 - shift).alias("end"))
     return p.select((F.col("doc_id") % 3).cast("int").alias("lib_id"), F.col("doc_id").alias("node_id"), F.explode(F.array(first, second)).alias("m")).select("lib_id", "node_id", "m.*")
 
 
-_DIST = f"{PAIRS}, dist AS (SELECT (doc_id % 3)::INT AS lib_id, CASE WHEN k % 11 = 0 THEN 1 ELSE 2 END AS o, 300 - (k % 9) * 5 AS distance FROM pairs)"
+_DIST = f"""{PAIRS}, dist AS (SELECT (doc_id % 3)::INT AS lib_id, doc_id AS node_id, CASE k % 11 WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS orientation, 300 - (k % 9) * 5 AS distance
+FROM pairs, (VALUES (1), (2)) t(times) WHERE k % 11 NOT IN (1, 2) AND (k % 11 = 0 OR times = 1))"""
 
 
-@query(f"""WITH {_DIST}, c AS (SELECT lib_id, count(*) FILTER (o = 1) AS n_ff, count(*) FILTER (o = 2) AS n_fr, count(*) FILTER (o = 3) AS n_rf, coalesce(sum(distance) FILTER (o = 1), 0)::BIGINT AS sum_ff, coalesce(sum(distance) FILTER (o = 2), 0)::BIGINT AS sum_fr, coalesce(sum(distance) FILTER (o = 3), 0)::BIGINT AS sum_rf FROM dist GROUP BY lib_id)
+@query(f"""WITH {_DIST}, c AS (SELECT lib_id, count(*) FILTER (orientation = 1) AS n_ff, count(*) FILTER (orientation = 2) AS n_fr, count(*) FILTER (orientation = 3) AS n_rf, coalesce(sum(distance) FILTER (orientation = 1), 0)::BIGINT AS sum_ff, coalesce(sum(distance) FILTER (orientation = 2), 0)::BIGINT AS sum_fr, coalesce(sum(distance) FILTER (orientation = 3), 0)::BIGINT AS sum_rf FROM dist GROUP BY lib_id)
 SELECT *, CASE WHEN n_ff + n_fr + n_rf < 100 THEN 0 WHEN n_ff > 0.8 * (n_ff + n_fr + n_rf) THEN 1 WHEN n_fr > 0.8 * (n_ff + n_fr + n_rf) THEN 2 WHEN n_rf > 0.8 * (n_ff + n_fr + n_rf) THEN 3 ELSE 0 END AS orientation FROM c""")
 def pair_orientation_counts(spark, sf_dir):
     return calibrate.orientation_counts(calibrate.mate_distances(_placements(spark, sf_dir)))
 
 
+@query(f"WITH {_DIST} SELECT lib_id, node_id, orientation, distance, count(*) AS n FROM dist GROUP BY ALL")
+def mate_distances(spark, sf_dir):
+    return calibrate.mate_distances(_placements(spark, sf_dir)).groupBy("lib_id", "node_id", "orientation", "distance").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {_DIST}, s AS (SELECT lib_id, list_sort(list(distance)) AS v FROM dist GROUP BY lib_id) SELECT lib_id, v[len(v) // 2 + 1]::BIGINT AS distance FROM s")
 def insert_median(spark, sf_dir):
     return calibrate.upper_median(calibrate.mate_distances(_placements(spark, sf_dir)), "lib_id", "distance")
@@ -223,6 +228,21 @@ def insert_tails(spark, sf_dir):
     return calibrate.tails(calibrate.mate_distances(_placements(spark, sf_dir)), "lib_id", "distance")
 
 
+@query(f"""WITH {_DIST}, loci AS (SELECT doc_id AS node_id, max(40 * k + 100) AS len FROM reads GROUP BY doc_id),
+t AS (SELECT lib_id, orientation, sum(distance - least(distance, 100)) AS s, count(*) AS n FROM dist GROUP BY ALL),
+b AS (SELECT lib_id, orientation, greatest(1, n // 40) AS cut FROM t WHERE s > 0 AND NOT EXISTS (SELECT 1 FROM t u WHERE u.lib_id = t.lib_id AND u.orientation <> t.orientation AND u.s >= t.s)),
+l AS (SELECT lib_id, node_id, any_value(cut) AS cut, list_sort(list(distance)) AS v FROM dist JOIN b USING (lib_id, orientation) GROUP BY ALL),
+m AS (SELECT lib_id, cut, len(v) AS n, v[len(v) // 2 + 1] AS median, len, v FROM l JOIN loci USING (node_id)),
+c AS (SELECT lib_id, least((SELECT max(len) FROM loci JOIN dist d USING (node_id) WHERE d.lib_id = m.lib_id), floor(max(median) * 1.5::DOUBLE)) AS least FROM m GROUP BY lib_id),
+z AS (SELECT lib_id, floor(sum(n * median) / sum(n)::DOUBLE)::BIGINT AS size FROM m JOIN c USING (lib_id) WHERE len >= c.least GROUP BY lib_id),
+lo AS (SELECT lib_id, any_value(cut) AS cut, list_sort(flatten(list(v[1:cut]))) AS v FROM m GROUP BY lib_id),
+hi AS (SELECT lib_id, list_sort(flatten(list(v[greatest(1, n - cut + 1):n]))) AS w FROM m GROUP BY lib_id)
+SELECT lib_id, orientation, size, floor(least(size, v[least(len(v) - 1, 2 * lo.cut) + 1]) * 0.8::DOUBLE)::BIGINT AS min_distance, floor(greatest(size, w[greatest(0, len(w) - lo.cut) + 1]) * 1.2::DOUBLE)::BIGINT AS max_distance FROM b JOIN z USING (lib_id) JOIN lo USING (lib_id) JOIN hi USING (lib_id)""")
+def library_sizes(spark, sf_dir):
+    loci = views.reads(docs(spark, sf_dir)).groupBy(F.col("doc_id").alias("node_id")).agg(F.max(F.col("k") * 40 + 100).alias("len"))
+    return calibrate.library_sizes(calibrate.mate_distances(_placements(spark, sf_dir)), loci, views.READ)
+
+
 _COVER = f"{READS}, cover AS (SELECT doc_id, max(40 * k + 100) AS len, count(*) * 100 * 10000 // max(40 * k + 100) AS cover FROM reads GROUP BY doc_id)"
 
 
@@ -232,13 +252,13 @@ def _cover(spark, sf_dir):
     return r.groupBy("doc_id").agg(length.alias("len"), F.count("*").alias("n")).select("doc_id", "len", F.expr("n * 100 * 10000 div len").alias("cover"))
 
 
-@query(f"""WITH {_COVER}, v AS (SELECT cover, sum(len) AS w FROM cover GROUP BY cover), u AS (SELECT *, coalesce(sum(w) OVER (ORDER BY cover DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER () AS total FROM v)
-SELECT (sum(cover * w) / sum(w))::DOUBLE AS mean FROM u WHERE before < total * 0.75""")
+@query(f"""WITH {_COVER}, u AS (SELECT cover, len AS w, coalesce(sum(len) OVER (ORDER BY cover DESC, len DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(len) OVER () AS total FROM cover)
+SELECT (sum(cover * w) / sum(w))::DOUBLE AS mean FROM u WHERE before <= floor(total * 0.75)""")
 def coverage_weighted_mean(spark, sf_dir):
     return calibrate.weighted_mean_top(_cover(spark, sf_dir), "cover", "len")
 
 
-@query(f"WITH {_COVER}, v AS (SELECT cover, sum(len) AS w FROM cover GROUP BY cover), u AS (SELECT *, sum(w) OVER (ORDER BY cover) AS upto, sum(w) OVER () AS total FROM v) SELECT min(cover) AS cover FROM u WHERE upto >= total * 0.67")
+@query(f"WITH {_COVER}, v AS (SELECT cover, sum(len) AS w FROM cover GROUP BY cover), u AS (SELECT *, sum(w) OVER (ORDER BY cover) AS upto, sum(w) OVER () AS total FROM v) SELECT min(cover) AS cover FROM u WHERE upto > floor(total * 0.67::DOUBLE)")
 def coverage_weighted_p67(spark, sf_dir):
     return calibrate.weighted_point(_cover(spark, sf_dir), "cover", "len", 0.67)
 
@@ -249,7 +269,7 @@ for _name, _asc in (("n50_ascending", True), ("n50", False)):
         return calibrate.n50(_cover(spark, sf_dir), "len", asc)
 
     QUERIES[_name] = _n50
-    ORACLES[_name] = f"WITH {_COVER}, u AS (SELECT len, sum(len) OVER (ORDER BY len {'' if _asc else 'DESC'} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(len) OVER () AS total FROM cover) SELECT {'min' if _asc else 'max'}(len) AS n50 FROM u WHERE upto * 2 >= total"
+    ORACLES[_name] = f"WITH {_COVER}, u AS (SELECT len, sum(len) OVER (ORDER BY len {'' if _asc else 'DESC'} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(len) OVER () AS total FROM cover) SELECT {'min' if _asc else 'max'}(len) AS n50 FROM u WHERE {'upto >= total // 2' if _asc else 'upto * 2 >= total'}"
 
 
 @query("SELECT s AS size, greatest(s // 5 - 100, 1)::INT AS min_distance, (floor(s * 1.2) + 200)::INT AS max_distance FROM (SELECT DISTINCT p_size * 100 AS s FROM part)")
@@ -285,18 +305,29 @@ def pile_consensus(spark, sf_dir):
     return correct.pile_consensus(r, "key")
 
 
-@query(f"""WITH {READS}, c AS (SELECT substr(seq, i, 13) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, 89)) AS i FROM reads) GROUP BY 1),
-p AS (SELECT * FROM c WHERE n * 10 >= (SELECT count(*) FROM reads) // 10 AND NOT regexp_matches(kmer, 'AAAA|CCCC|GGGG|TTTT')),
-low AS (SELECT CASE WHEN a.n < b.n THEN a.kmer WHEN b.n < a.n THEN b.kmer END AS kmer FROM p a JOIN p b ON substr(a.kmer, 2, 12) = substr(b.kmer, 1, 12) AND a.kmer <> b.kmer)
-SELECT kmer, n FROM p WHERE kmer NOT IN (SELECT kmer FROM low WHERE kmer IS NOT NULL) ORDER BY n DESC, kmer LIMIT 4""")
+_RUN4 = "'AAAA|CCCC|GGGG|TTTT'"
+
+
+@query(f"""WITH {PAIRS}, mates AS (SELECT r1 AS seq, pair_no FROM pairs UNION ALL SELECT r2, pair_no FROM pairs),
+shared AS (SELECT pair_no FROM pairs WHERE len(list_filter(range(51, 101), lambda n: {_RC.format('r2')}[101 - n:] = r1[1:n] OR {_RC.format('r1')}[101 - n:] = r2[1:n])) > 0),
+c AS (SELECT substr(seq, i, 13) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, 89)) AS i FROM mates WHERE pair_no NOT IN (SELECT pair_no FROM shared)) WHERE NOT regexp_matches(substr(seq, greatest(i - 3, 1), 13 + least(i - 1, 3)), {_RUN4}) GROUP BY 1),
+a AS (SELECT substr(kmer, 2) AS head, max(n) AS best, sum(n) AS total FROM c GROUP BY 1), f AS (SELECT substr(kmer, 1, 12) AS tail, max(n) AS next FROM c GROUP BY 1),
+p AS (SELECT kmer, n FROM c LEFT JOIN a ON head = substr(kmer, 1, 12) LEFT JOIN f ON tail = substr(kmer, 2) WHERE n >= (SELECT count(*) FROM pairs) // 200 AND coalesce(best, 0) <= coalesce(total, 0) // 2 AND coalesce(next, 0) <= n ORDER BY n DESC, kmer DESC LIMIT 4)
+SELECT kmer, n FROM p WHERE (SELECT max(n) FROM p) <= 2 * n""")
 def kmer_heavy_topk(spark, sf_dir):
-    r = views.reads(docs(spark, sf_dir))
-    return correct.heavy_kmers(r, r.count() // 10)
+    return correct.heavy_kmers(views.pairs(views.reads(docs(spark, sf_dir))), share=200)
+
+
+_QUAL = "array_to_string(list_transform(range(0, 100), lambda p: chr((33 + (k * 7 + p * 13) % 41)::INT)), '')"
 
 
-@query(f"WITH {READS} SELECT read_no, CASE WHEN strpos(seq, 'TTATC') > 0 THEN substr(seq, 1, strpos(seq, 'TTATC') - 1) || repeat('N', 101 - strpos(seq, 'TTATC')) ELSE seq END AS masked FROM reads")
+@query(f"""WITH {READS}, adapter AS (SELECT substr(arg_min(seq, read_no), 61, 30) AS a FROM reads),
+found AS (SELECT read_no, seq, {_QUAL} AS qual, CASE WHEN strpos(seq, a) > 0 THEN strpos(seq, a) - 1 ELSE 100 - coalesce(list_max(list_filter(range(21, 31), lambda n: seq[101 - n:] = a[1:n])), 0) END AS start FROM reads, adapter)
+SELECT read_no, substr(seq, 1, start) || repeat('N', 100 - start) AS seq, substr(qual, 1, start) || repeat('#', 100 - start) AS qual FROM found""")
 def adapter_overlap_mask(spark, sf_dir):
-    return views.reads(docs(spark, sf_dir)).select("read_no", correct.mask_adapter(F.col("seq"), "TTATC").alias("masked"))
+    r = views.reads_with_quality(docs(spark, sf_dir))
+    adapter = r.agg(F.min_by("seq", "read_no")).first()[0][60:90]
+    return r.select("read_no", correct.mask_adapter(F.col("seq"), F.col("qual"), adapter).alias("m")).select("read_no", "m.*")
 
 
 @query(f"""WITH {READS}, w AS (SELECT read_no, seq, i, substr(seq, i, 24) AS context, substr(seq, i + 24, 1) AS base FROM (SELECT read_no, seq, unnest(range(1, 77)) AS i FROM reads)),
@@ -313,9 +344,15 @@ def base_corrections(spark, sf_dir):
 # --- placements
 
 
-@query(f"""WITH {PLACED} SELECT p.read_no, EXISTS (SELECT 1 FROM placed q WHERE q.node = p.node AND q.start <= p.start AND q."end" >= p."end" AND (q.start < p.start OR q."end" > p."end" OR q.read_no < p.read_no)) AS redundant FROM placed p""")
+#: A third of the intervals twice, under another number.
+_TWICE = f"{PLACED}, twice AS (SELECT * FROM placed UNION ALL SELECT node, read_no + 50000, start, \"end\" FROM placed WHERE read_no % 3 = 0)"
+
+
+@query(f"""WITH {_TWICE} SELECT p.read_no, p."end" - p.start <> 100 AND EXISTS (SELECT 1 FROM twice q WHERE q.node = p.node AND q.start <= p.start AND q."end" >= p."end" AND q."end" - q.start > p."end" - p.start) AS redundant FROM twice p""")
 def interval_redundant(spark, sf_dir):
-    return placement.redundant(placed(spark, sf_dir)).select("read_no", "redundant")
+    p = placed(spark, sf_dir)
+    twice = p.union(p.where("read_no % 3 = 0").withColumn("read_no", F.col("read_no") + 50_000))
+    return placement.redundant(twice, views.READ).select("read_no", "redundant")
 
 
 @query(f"""WITH {PLACED}, d AS (SELECT node, p, count(*) AS depth FROM (SELECT node, unnest(range(start, "end")) AS p FROM placed) GROUP BY ALL),
@@ -344,18 +381,42 @@ def top3_limits(spark, sf_dir):
     return got.select("user_id", *(F.get("limits", F.lit(i)).alias(n) for i, n in enumerate(("first", "second", "third"))))
 
 
-@query(f"""WITH {_MARKS}, f AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 100 THEN 0 ELSE 1 END AS fresh FROM marks WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+@query(f"""WITH {_MARKS}, f AS (SELECT *, CASE WHEN t - lag(t) OVER w < 100 THEN 0 ELSE 1 END AS fresh FROM marks WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f)
 SELECT user_id, min(t) AS low, max(t) AS high, count(*) AS n FROM g GROUP BY user_id, island""")
 def interval_merge_100(spark, sf_dir):
     return graph.merge_distances(_marks(spark, sf_dir), "user_id", "t")
 
 
-@query(f"""WITH {PLACED} SELECT p.node, p.read_no, (SELECT min(q.start) FROM placed q WHERE q.node = p.node AND q.start > p."end") AS next_start FROM placed p""")
+_TENS = "tens AS (SELECT user_id, t // 10 * 10 AS t FROM marks)"
+
+
+@query(f"""WITH {_MARKS}, {_TENS}, f AS (SELECT *, CASE WHEN t - lag(t) OVER w < 100 THEN 0 ELSE 1 END AS fresh FROM tens WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f),
+i AS (SELECT user_id, min(t) AS low, max(t) AS high FROM g GROUP BY user_id, island), e AS (SELECT DISTINCT user_id, t + 50 AS est FROM tens),
+d AS (SELECT user_id, est, low, CASE WHEN est BETWEEN low AND high THEN 0 WHEN est > high THEN high - est ELSE low - est END AS d FROM e JOIN i USING (user_id))
+SELECT user_id, est, arg_min(d, abs(d) * 10000000000 + low)::BIGINT AS diff, -arg_min(d, abs(d) * 10000000000 + low)::BIGINT AS diff_left FROM d GROUP BY user_id, est""")
+def interval_diff_100(spark, sf_dir):
+    tens = _marks(spark, sf_dir).withColumn("t", F.expr("t div 10 * 10"))
+    intervals, estimates = graph.merge_distances(tens, "user_id", "t"), tens.select("user_id", (F.col("t") + 50).alias("est"))
+    left = graph.interval_diff(intervals, estimates, "user_id", "est", right=False).withColumnRenamed("diff", "diff_left")
+    return graph.interval_diff(intervals, estimates, "user_id", "est").join(left, ["user_id", "est"])
+
+
+@query(f"""WITH {_MARKS}, a AS (SELECT user_id, t, lead(t, 4) OVER (PARTITION BY user_id ORDER BY t) AS ahead FROM marks), b AS (SELECT user_id, min(t) AS begin FROM a WHERE ahead - t < 5000 GROUP BY user_id)
+SELECT user_id, begin, max(t) AS "end" FROM marks JOIN b USING (user_id) WHERE t >= begin AND t - begin < 5000 GROUP BY user_id, begin""")
+def misassembled_windows(spark, sf_dir):
+    return placement.misassembled(_marks(spark, sf_dir), "user_id", "t", 5000, 4)
+
+
+@query(f"""WITH {PLACED}, n AS (SELECT node, min(start) AS a, max("end") AS b FROM placed GROUP BY node) SELECT p.node, p.read_no, least(n.b, coalesce((SELECT min(q.start) FROM placed q WHERE q.node = p.node AND q.start > p."end"), n.b)) AS next_right,
+greatest(n.a, coalesce((SELECT max(q."end") FROM placed q WHERE q.node = p.node AND q."end" < p.start), n.a)) AS next_left FROM placed p JOIN n USING (node)""")
 def next_read_after(spark, sf_dir):
     p = placed(spark, sf_dir)
-    found = placement.next_read(p, p.select("node", F.col("end").alias("mark")).distinct())
-    return p.withColumnRenamed("end", "mark").join(found, ["node", "mark"]).select("node", "read_no", "next_start")
+    nodes = p.groupBy("node").agg(F.min("start").alias("begin"), F.max("end").alias("end"))
+    right = placement.next_read(p, p.select("node", F.col("end").alias("mark")).distinct(), nodes).toDF("node", "end", "next_right")
+    left = placement.next_read(p, p.select("node", F.col("start").alias("mark")).distinct(), nodes, right=False).toDF("node", "start", "next_left")
+    return p.join(right, ["node", "end"]).join(left, ["node", "start"]).select("node", "read_no", "next_right", "next_left")
 
 
 @query(f"""WITH {READS}, n AS (SELECT doc_id AS node, count(*) AS n_reads, max(40 * k + 100) AS len FROM reads GROUP BY doc_id), c AS (SELECT *, CASE WHEN n_reads < 3 THEN 2.5 ELSE (n_reads - 2) * 100 / len END::DOUBLE AS coverage FROM n)
@@ -389,6 +450,16 @@ def graph_degrees(spark, sf_dir):
     return graph.degrees(views.window_edges(views.reads(docs(spark, sf_dir))))
 
 
+@query(f"""WITH {EDGES}, o AS (SELECT src AS node_id, max(ol) AS r FROM edges GROUP BY src), i AS (SELECT dst AS node_id, max(ol) AS l FROM edges GROUP BY dst),
+n AS (SELECT node_id AS node, n_reads, greatest(1, 100 - (coalesce(l, 100) + coalesce(r, 100)) // 2)::INT AS covered FROM sequences LEFT JOIN o USING (node_id) LEFT JOIN i USING (node_id))
+SELECT node, covered, round((n_reads + 3) * 100 / (covered + 7.5::DOUBLE) / (40 * 0.7::DOUBLE), 9) AS copies FROM n""")
+def node_copies(spark, sf_dir):
+    edges, nodes = _graph(spark, sf_dir)
+    covered = placement.length_for_coverage(F.length("seq"), F.col("best_in"), F.col("best_out"), views.READ)
+    n = nodes.join(graph.degrees(edges), "node", "left").select("node", "n_reads", covered.alias("covered"))
+    return n.select("node", "covered", F.round(placement.copies(F.col("n_reads"), F.col("covered"), views.READ, 2.5, 40), 9).alias("copies"))
+
+
 _COMPONENTS = f"""WITH RECURSIVE {EDGES}, e AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT node_id AS a, node_id AS b FROM sequences UNION SELECT walk.a, e.b FROM walk JOIN e ON walk.b = e.a)"""
 
 
@@ -460,20 +531,23 @@ def set_exclusive(spark, sf_dir):
     return graph.exclusive(edges, s.agg(F.min("node").alias("node")), s.agg(F.max("node").alias("node")))
 
 
-_LINKS = f"""{EDGES}, steps AS (SELECT src, dst FROM edges WHERE ol = 60), o AS (SELECT src, min(dst) AS dst FROM steps GROUP BY src HAVING count(*) = 1), i AS (SELECT dst FROM steps GROUP BY dst HAVING count(*) = 1), links AS (SELECT src, dst FROM o JOIN i USING (dst))"""
+_LINKS = f"""{EDGES}, steps AS (SELECT src, dst, CASE WHEN src % 17 = 0 THEN 0 ELSE ol END AS ol FROM edges WHERE ol = 60), o AS (SELECT src, min(dst) AS dst FROM steps GROUP BY src HAVING count(*) = 1 AND min(ol) > 0), i AS (SELECT dst FROM steps GROUP BY dst HAVING count(*) = 1), links AS (SELECT src, dst FROM o JOIN i USING (dst))"""
 
 
 @query(f"""WITH RECURSIVE {_LINKS}, walk AS (SELECT node_id AS node, node_id AS chain, 0::BIGINT AS place FROM sequences WHERE node_id NOT IN (SELECT dst FROM links) UNION ALL SELECT dst, chain, place + 1 FROM walk JOIN links ON src = node) SELECT node, chain, place FROM walk""")
 def unary_chain_merge(spark, sf_dir):
     edges, nodes = _graph(spark, sf_dir)
-    return graph.chains(edges.where("ol = 60"), nodes)
+    leaps = edges.where("ol = 60").withColumn("ol", F.when(F.col("src") % 17 == 0, 0).otherwise(F.col("ol")))
+    return graph.chains(leaps, nodes)
 
 
-@query(f"""WITH {EDGES}, tips AS (SELECT node_id AS node, n_reads FROM sequences WHERE n_reads <= 2 AND node_id NOT IN (SELECT src FROM edges) AND node_id IN (SELECT dst FROM edges GROUP BY dst HAVING count(*) = 1))
-SELECT DISTINCT tips.node FROM tips JOIN edges f ON f.dst = tips.node JOIN edges g ON g.src = f.src AND g.dst <> tips.node JOIN sequences s ON s.node_id = g.dst WHERE s.n_reads > tips.n_reads""")
+@query(f"""WITH {EDGES}, cut AS (SELECT * FROM edges WHERE src % 9 <> 4 AND (ol = 60 OR dst % 2 = 0)), more AS (SELECT node_id, n_reads + node_id % 5 AS n_reads FROM sequences),
+tips AS (SELECT node_id AS node, n_reads FROM more WHERE n_reads <= 2 AND node_id NOT IN (SELECT src FROM cut) AND node_id IN (SELECT dst FROM cut GROUP BY dst HAVING count(*) = 1))
+SELECT DISTINCT tips.node FROM tips JOIN cut f ON f.dst = tips.node JOIN cut g ON g.src = f.src AND g.dst <> tips.node JOIN more s ON s.node_id = g.dst WHERE s.n_reads > tips.n_reads""")
 def blunt_tips(spark, sf_dir):
     edges, nodes = _graph(spark, sf_dir)
-    return graph.blunt_tips(edges, nodes, 2)
+    cut = edges.where("src % 9 <> 4 and (ol = 60 or dst % 2 = 0)")  # some nodes lose their ways on
+    return graph.blunt_tips(cut, nodes.withColumn("n_reads", F.col("n_reads") + F.col("node") % 5), 2)
 
 
 @query(f"""WITH {EDGES}, way AS (SELECT x.src AS a, x.dst AS m, y.dst AS z, n_reads FROM edges x JOIN edges y ON x.dst = y.src JOIN sequences ON node_id = x.dst WHERE x.src <> y.dst)
@@ -520,13 +594,139 @@ def export_contig(spark, sf_dir):
     return graph.path_sequences(r.select(F.col("doc_id").alias("path"), F.col("k").alias("place"), "seq", F.lit(60).alias("ol")))
 
 
-@query("SELECT unnest(['overlap_text', 'edge_twice', 'read_outside']) AS rule, 0::BIGINT AS broken")
+@query(f"""WITH {EDGES}, bad AS (SELECT src, dst, CASE WHEN src % 31 = 0 THEN ol - 1 ELSE ol END AS ol FROM edges UNION ALL SELECT src, dst, ol FROM edges WHERE src % 50 = 0)
+SELECT 'overlap_text' AS rule, count(*) AS broken FROM bad JOIN sequences a ON a.node_id = src JOIN sequences b ON b.node_id = dst WHERE ol > 0 AND substr(a.seq, 101 - ol) <> substr(b.seq, 1, ol)
+UNION ALL SELECT 'edge_twice', count(*) FROM (SELECT src FROM bad GROUP BY src, dst HAVING count(*) > 1) UNION ALL SELECT 'read_outside', count(*) FROM sequences WHERE node_id % 13 = 0""")
 def graph_invariants(spark, sf_dir):
+    """Rules broken on purpose: overlaps too short by one, edges twice, reads past their node's end."""
     edges, nodes = _graph(spark, sf_dir)
-    places = nodes.select("node", F.lit(0).alias("start"), F.length("seq").alias("end"))
-    return graph.invariants(edges, nodes, places)
+    bad = edges.select("src", "dst", F.when(F.col("src") % 31 == 0, F.col("ol") - 1).otherwise(F.col("ol")).alias("ol")).union(edges.where("src % 50 = 0").select("src", "dst", "ol"))
+    places = nodes.select("node", F.lit(0).alias("start"), (F.length("seq") + F.when(F.col("node") % 13 == 0, 5).otherwise(0)).alias("end"))
+    return graph.invariants(bad, nodes, places)
 
 
 @query(f"""WITH {_HITS}, f AS (SELECT src AS node, sum(n) AS n FROM hits WHERE src <> dst GROUP BY 1), b AS (SELECT dst AS node, sum(n) AS n FROM hits WHERE src <> dst GROUP BY 1) SELECT node FROM f JOIN b USING (node) WHERE f.n >= 3 AND b.n >= 3""")
 def verified_nodes(spark, sf_dir):
     return placement.verified(_hits(spark, sf_dir))
+
+
+# --- more of the operators
+
+
+@query(f"""WITH {READS} SELECT read_no, i - 1 AS off, substr(seq, i, 24) AS kmer FROM (SELECT read_no, seq, unnest(range(1, 78)) AS i FROM reads)""")
+def seed_index(spark, sf_dir):
+    return index.seed_index(views.reads(docs(spark, sf_dir)), 24)
+
+
+@query(f"""WITH {READS}, stranded AS (SELECT read_no * 2 AS read_id, seq FROM reads UNION ALL SELECT read_no * 2 + 1, {_RC.format('seq')} FROM reads),
+places AS (SELECT doc_id AS q_id, i, substr(seq, i, 100) AS piece FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 98)) AS i FROM genomes WHERE length(seq) >= 100))
+SELECT q_id, read_id AS read_no, i - 1 AS start, i + 99 AS "end" FROM places JOIN stranded s ON piece = s.seq""")
+def map_exact_stranded(spark, sf_dir):
+    """map_exact against both strands of the reads."""
+    d = docs(spark, sf_dir)
+    both = views.stranded(views.reads(d)).select(F.col("read_id").alias("read_no"), "seq")
+    return mapping.map_exact(views.genomes(d).select(F.col("doc_id").alias("q_id"), "seq"), both)
+
+
+@query(f"WITH {_OVERLAPS}, b AS (SELECT q.read_no AS q_id, t.read_no, max(over_len) AS over_len FROM ov JOIN reads q ON q.seq = q_seq JOIN reads t ON t.seq = t_seq GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY over_len DESC, read_no) AS x, row_number() OVER (PARTITION BY read_no ORDER BY over_len DESC, q_id) AS y FROM b) SELECT q_id, read_no, over_len FROM r WHERE x = 1 AND y = 1")
+def mutual_best(spark, sf_dir):
+    return assembly.mutual_best(mapping.best_overlaps(mapping.overlap_join(views.reads(docs(spark, sf_dir)), 45)))
+
+
+@query(f"""WITH {_OVERLAPS}, c AS (SELECT q.read_no AS q_id, substr(t.seq, over_len + 1, 1) AS base, count(*) AS n FROM ov JOIN reads q ON q.seq = q_seq JOIN reads t ON t.seq = t_seq GROUP BY 1, 2)
+SELECT q_id, base, n FROM (SELECT *, max(n) OVER (PARTITION BY q_id) AS top FROM c) WHERE n >= 2 OR top < 15""")
+def next_bases(spark, sf_dir):
+    r = views.reads(docs(spark, sf_dir))
+    found = mapping.overlap_join(r, 45).join(r.select("read_no", "seq"), "read_no")
+    return extension.next_bases(found.withColumn("ext", F.expr("substring(seq, over_len + 1)")))
+
+
+@query(f"""WITH {_OVERLAPS}, o AS (SELECT q.read_no AS q_id, over_len, max(100 - over_len) AS e FROM ov JOIN reads q ON q.seq = q_seq GROUP BY ALL) SELECT q_id, sum(e - least)::BIGINT AS volume FROM (SELECT *, min(e) OVER (PARTITION BY q_id) AS least FROM o) GROUP BY q_id""")
+def extension_volumes(spark, sf_dir):
+    return extension.volumes(mapping.overlap_join(views.reads(docs(spark, sf_dir)), 45))
+
+
+@query(f"""WITH {READS}, p AS (SELECT a.read_no AS pair_no, a.seq AS r1, {_RC.format('b.seq')} AS r2 FROM reads a JOIN reads b ON a.doc_id = b.doc_id AND b.k = a.k - 1),
+s AS (SELECT r1, r2, list_max(list_filter(range(21, 101), lambda n: substr({_RC.format('r2')}, 101 - n) = substr(r1, 1, n))) AS size FROM p),
+t AS (SELECT unnest([substr(r1, size + 1), substr(r2, size + 1)]) AS tail FROM s WHERE size >= 50 AND size < 100) SELECT tail, count(*) AS n FROM t WHERE tail <> '' GROUP BY tail""")
+def adapter_tails(spark, sf_dir):
+    """Mates that run into each other's start: each window with the one before it on the other strand."""
+    r = views.reads(docs(spark, sf_dir))
+    second = r.select("doc_id", (F.col("k") + 1).alias("k"), S.revcomp(F.col("seq")).alias("r2"))
+    return correct.adapter_tails(r.select("doc_id", "k", F.col("seq").alias("r1")).join(second, ["doc_id", "k"]))
+
+
+_DEPTH = f"""{PLACED}, e AS (SELECT node, p, sum(d) AS d FROM (SELECT node, start AS p, 1 AS d FROM placed UNION ALL SELECT node, "end", -1 FROM placed) GROUP BY ALL),
+stretch AS (SELECT node, p AS pos, lead(p) OVER w AS until, (sum(d) OVER (PARTITION BY node ORDER BY p ROWS UNBOUNDED PRECEDING))::BIGINT AS depth FROM e WINDOW w AS (PARTITION BY node ORDER BY p))"""
+
+
+@query(f"WITH {_DEPTH} SELECT * FROM stretch WHERE until IS NOT NULL")
+def depth_stretches(spark, sf_dir):
+    return placement.depth(placed(spark, sf_dir))
+
+
+@query(f"WITH {_DEPTH} SELECT node, arg_min(pos, depth * 10000000 + pos) AS pos, min(depth) AS depth FROM stretch WHERE until IS NOT NULL GROUP BY node")
+def weak_spots(spark, sf_dir):
+    return assembly.weak_spot(placement.depth(placed(spark, sf_dir)))
+
+
+@query(f"""WITH {_MARKS}, c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 5000 FOLLOWING) - 1 AS a, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 5000 PRECEDING AND CURRENT ROW) - 1 AS b FROM marks),
+h AS (SELECT *, max(CASE WHEN a >= 4 THEN t END) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 5000 PRECEDING AND CURRENT ROW) AS dense FROM c) SELECT user_id, t FROM h WHERE dense IS NOT NULL OR b >= 4""")
+def mark_clumps(spark, sf_dir):
+    return assembly.clumps(_marks(spark, sf_dir), "user_id", "t", 5000, 4)
+
+
+_ON_NODES = f"{EDGES}, onto AS (SELECT read_no * 4 + v AS read_id, node_id AS node, 40 * k + 10 * v AS start, 40 * k + 10 * v + 100 AS \"end\" FROM named JOIN (SELECT doc_id, k, read_no FROM reads) USING (doc_id, k), (VALUES (0), (3)) s(v) WHERE v = 0 OR k % 4 > 0)"
+
+
+def _onto(spark, sf_dir):
+    """Reads 4n and, three times in four, their inward mates 4n + 3 on the node of their window."""
+    r = views.reads(docs(spark, sf_dir))
+    named = r.join(views.sequences(r).select("seq", "node_id"), "seq")
+    v = F.explode(F.when(F.col("k") % 4 > 0, F.array(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0))))
+    spread = named.select("read_no", "k", F.col("node_id").alias("node"), v.alias("v"))
+    return spread.select((F.col("read_no") * 4 + F.col("v")).alias("read_id"), "node", (F.col("k") * 40 + F.col("v") * 10).alias("start"), (F.col("k") * 40 + F.col("v") * 10 + 100).alias("end"), F.lit(2).alias("orientation"))
+
+
+@query(f"""WITH {_ON_NODES} SELECT a.node AS src, b.node AS dst, count(*) AS n, sum(b."end" - a.start)::BIGINT AS distance FROM onto a JOIN onto b ON b.read_id = xor(a.read_id, 3) GROUP BY 1, 2""")
+def pair_hits(spark, sf_dir):
+    return placement.pair_hits(_onto(spark, sf_dir))
+
+
+@query(f"""WITH {_ON_NODES} SELECT read_id, node FROM onto a WHERE xor(read_id, 3) NOT IN (SELECT read_id FROM onto)""")
+def unpaired_reads(spark, sf_dir):
+    return placement.unpaired(_onto(spark, sf_dir)).select("read_id", "node")
+
+
+@query(f"""WITH {EDGES}, i AS (SELECT dst FROM edges GROUP BY dst HAVING count(*) = 1) SELECT DISTINCT dst AS node FROM edges JOIN i USING (dst) WHERE src % 3 = 0""")
+def dependent_nodes(spark, sf_dir):
+    edges, nodes = _graph(spark, sf_dir)
+    return graph.dependents(edges, nodes.where("node % 3 = 0"))
+
+
+@query(f"WITH {EDGES}, c AS (SELECT node_id AS node FROM sequences WHERE node_id IN (SELECT dst FROM edges GROUP BY dst HAVING count(*) > 1) AND node_id IN (SELECT src FROM edges GROUP BY src HAVING count(*) > 1)) SELECT node FROM c")
+def cross_nodes(spark, sf_dir):
+    return assembly.crosses(_graph(spark, sf_dir)[0])
+
+
+@query(f"""WITH {_HITS}, c AS (SELECT node_id AS node FROM sequences WHERE node_id IN (SELECT dst FROM edges GROUP BY dst HAVING count(*) > 1) AND node_id IN (SELECT src FROM edges GROUP BY src HAVING count(*) > 1)),
+near AS (SELECT a.node_id AS src, b.node_id AS dst, count(*) AS n FROM named a JOIN named b ON a.doc_id = b.doc_id AND b.k = a.k + 2 GROUP BY 1, 2),
+s AS (SELECT c.node, x.src, y.dst, coalesce(n, 0) AS score FROM c JOIN edges x ON x.dst = c.node JOIN edges y ON y.src = c.node LEFT JOIN near ON near.src = x.src AND near.dst = y.dst),
+m AS (SELECT *, sum(score) OVER (PARTITION BY node, src) + sum(score) OVER (PARTITION BY node, dst) - 2 * score AS miss FROM s) SELECT node, src, dst, score FROM m WHERE score >= 1 AND score >= 4 * miss""")
+def cross_pairings(spark, sf_dir):
+    r = views.reads(docs(spark, sf_dir))
+    named = r.join(views.sequences(r).select("seq", "node_id"), "seq").select("doc_id", "k", "node_id")
+    near = named.select("doc_id", (F.col("k") + 2).alias("k"), F.col("node_id").alias("src")).join(named.select("doc_id", "k", F.col("node_id").alias("dst")), ["doc_id", "k"]).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return assembly.cross_pairings(_graph(spark, sf_dir)[0], near)
+
+
+@query(f"""WITH {EDGES}, ends AS (SELECT node_id AS node FROM sequences WHERE node_id NOT IN (SELECT src FROM edges)) SELECT node FROM ends""")
+def open_ends(spark, sf_dir):
+    edges, nodes = _graph(spark, sf_dir)
+    return graph.open_ends(edges, nodes).select("node")
+
+
+@query(f"""WITH {_ON_NODES}, ids AS (SELECT node, list_sort(list("end" - start + read_id % 7)) AS v FROM onto GROUP BY node) SELECT node, floor((v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1]) / 2)::BIGINT AS estimate FROM ids""")
+def pair_estimates(spark, sf_dir):
+    per = _onto(spark, sf_dir).groupBy("node").agg(F.collect_list(F.col("end") - F.col("start") + F.col("read_id") % 7).alias("pe"))
+    return per.select("node", placement.estimate(F.col("pe"), F.array().cast("array<bigint>")).alias("estimate"))

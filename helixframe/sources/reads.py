@@ -38,20 +38,18 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
-    """(path, record, name, seq, qual) of the records of a read file; the format is sniffed from the first line unless given."""
-    if form is None:
-        first = spark.read.text(path).head(1)
-        form = sniff(first[0]["value"]) if first else "plain"
-    n = _LINES[form]
+    """(path, record, name, seq, qual) of the records of read files; the format of each file is sniffed from its first line unless given."""
     lines = _numbered(spark, path)
-    part = F.col("line_no") % n
-    pick = lambda i: F.max(F.when(part == i, F.col("line")))
-    rows = lines.groupBy("path", F.expr(f"line_no div {n}").alias("record"))
-    blank = F.lit(None).cast("string")
-    if form == "plain":
-        return rows.agg(blank.alias("name"), pick(0).alias("seq"), blank.alias("qual"))
-    name = F.substring(pick(0), 2, 1 << 20)
-    return rows.agg(name.alias("name"), pick(1).alias("seq"), (pick(3) if form == "fastq" else blank).alias("qual"))
+    if form is None:
+        kind = F.when(F.startswith("line", F.lit(">")), "fasta").when(F.startswith("line", F.lit("@")), "fastq").otherwise("plain")
+        lines = lines.join(lines.where("line_no = 0").select("path", kind.alias("form")), "path")
+    else:
+        lines = lines.withColumn("form", F.lit(form))
+    lines = lines.withColumn("n", F.element_at(F.create_map(*(F.lit(x) for kv in _LINES.items() for x in kv)), F.col("form")))
+    at = lambda i: F.max(F.when(F.expr("line_no % n") == i, F.col("line")))
+    rows = lines.groupBy("path", "form", F.expr("line_no div n").alias("record")).agg(*(at(i).alias(f"l{i}") for i in (0, 1, 3)))
+    named = F.when(F.col("form") != "plain", F.expr("substring(l0, 2)"))
+    return rows.select("path", "record", named.alias("name"), F.when(F.col("form") == "plain", F.col("l0")).otherwise(F.col("l1")).alias("seq"), F.when(F.col("form") == "fastq", F.col("l3")).alias("qual"))
 
 
 def read_length(records: DataFrame) -> int:

@@ -59,7 +59,7 @@ def test_marks(spark):
     stretches = placement.depth(placed)
     assert got(stretches, "pos", "until", "depth") == [(0, 5, 1), (5, 10, 3), (10, 12, 2), (12, 20, 1)]
     assert got(A.weak_spot(stretches), "pos", "depth") == [(0, 1)]
-    assert got(placement.redundant(placed), "read_no", "redundant") == [(1, False), (2, False), (3, True)]
+    assert got(placement.redundant(placed, 100), "read_no", "redundant") == [(1, False), (2, False), (3, True)]
 
 
 def test_joins_of_ends(spark):

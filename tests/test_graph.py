@@ -74,6 +74,27 @@ def test_distances_and_limits(spark):
     assert graph.furthest(m, "k", "v").first()["limits"] == [50, 30, 10]
 
 
+def test_borders_of_rules(spark):
+    m = spark.createDataFrame([(1, v) for v in (0, 100, 199, 400)], "k long, v long")
+    merged = graph.merge_distances(m, "k", "v")
+    assert got(merged, "low", "high") == [(0, 0), (100, 199), (400, 400)]  # a gap of exactly 100 is none
+    asked = spark.createDataFrame([(1, e) for e in (0, 50, 150, 250, 350, 500, -7)], "k long, e long")
+    assert got(graph.interval_diff(merged, asked, "k", "e"), "e", "diff") == [(-7, 7), (0, 0), (50, -50), (150, 0), (250, -51), (350, 50), (500, -100)]
+    assert got(graph.interval_diff(merged, asked, "k", "e", right=False), "e", "diff") == [(-7, -7), (0, 0), (50, 50), (150, 0), (250, 51), (350, -50), (500, 100)]
+    same = spark.createDataFrame([(1, 1, 0, 50), (1, 2, 0, 50), (1, 3, 0, 100), (1, 4, 0, 100), (1, 5, 60, 160)], "node long, read_no long, start long, end long")
+    assert got(placement.redundant(same, 100), "read_no", "redundant") == [(1, True), (2, True), (3, False), (4, False), (5, False)]
+    two = spark.createDataFrame([(2,), (3,)], "l int")
+    assert calibrate.n50(two, "l", True).first()["n50"] == 2
+    ties = spark.createDataFrame([(c, 1) for c in (30, 20, 20, 20, 20)], "c int, len int")
+    assert calibrate.weighted_mean_top(ties, "c", "len").first()["mean"] == 22.5
+    b = spark.createDataFrame([(1, 0, None, "A", 50, 1, 10), (1, 1, None, "C", 50, 1, 2), (1, 2, None, "G", 50, 1, 3)], "q_id long, branch long, parent long, seq string, max_over int, max_ext int, n_reads long")
+    assert got(extension.cull_branches(b, 1), "n_reads") == [(3,), (10,)]
+    reverse = spark.createDataFrame([(1, 7, 1, 0, 100), (1, 7, 3, 200, 300), (1, 7, 4, 0, 100), (1, 7, 7, 200, 300)], "lib_id int, node_id long, read_id long, start long, end long")
+    assert got(calibrate.mate_distances(reverse), "orientation", "distance") == [(2, 300)]
+    chain = spark.createDataFrame([(1, 2, 10), (2, 3, 0), (3, 4, 5)], "src long, dst long, ol int")
+    assert got(graph.chains(chain, nodes_of(spark, range(1, 5))), "node", "chain") == [(1, 1), (2, 1), (3, 3), (4, 3)]
+
+
 def test_statistics(spark):
     v = spark.createDataFrame([("a", x) for x in (4, 1, 3, 2)], "k string, v int")
     assert calibrate.upper_median(v, "k", "v").first()["v"] == 3

@@ -4,6 +4,16 @@ from helixframe.sources import reads as R
 from helixframe.streaming import incremental
 
 
+def test_formats_are_told_by_file(spark, tmp_path):
+    long = "n" * (1 << 20)
+    (tmp_path / "a.fq").write_text(f"@{long}\nACGT\n+\nIIII\n")
+    (tmp_path / "b.fa").write_text(">x\nGGCC\n>y\nTTAA\n")
+    (tmp_path / "c.txt").write_text("AAAA\nCCCC\n")
+    found = R.read_records(spark, f"file://{tmp_path}").collect()
+    rows = sorted((r["path"].rsplit("/", 1)[1], r["record"], r["name"], r["seq"], r["qual"]) for r in found)
+    assert rows == [("a.fq", 0, long, "ACGT", "IIII"), ("b.fa", 0, "x", "GGCC", None), ("b.fa", 1, "y", "TTAA", None), ("c.txt", 0, None, "AAAA", None), ("c.txt", 1, None, "CCCC", None)]
+
+
 def test_formats(spark, tmp_path):
     (tmp_path / "a.fq").write_text("".join(f"@r{i}\n{'ACGT'[i % 4] * 90}\n+\n{'I' * 90}\n" for i in range(10)))
     (tmp_path / "b.fa").write_text("".join(f">s{i}\nACGTACGT\n" for i in range(3)))

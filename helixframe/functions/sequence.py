@@ -95,6 +95,22 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda s, i: s + F.when(F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)), 1).otherwise(0))
 
 
+#: Bases of three bits in a long, its sign left alone.
+PACKED = 20
+
+
+def packed(seq: Column) -> Column:
+    """At most PACKED letters A, C, G, T and N as one long, three bits each."""
+    return F.conv(F.translate(seq, "ACGTN", "01234"), 8, 10).cast("long")
+
+
+def packed_differences(a: Column, b: Column) -> Column:
+    """Places that differ between two packed pieces of one length."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(sum(1 << (3 * i) for i in range(PACKED)))))
+
+
 def mask_from(seq: Column, start: Column) -> Column:
     """seq with N from a 0-based place on."""
     return F.concat(F.substring(seq, F.lit(1), start), F.repeat(F.lit("N"), (F.length(seq) - start).cast("int")))

@@ -90,3 +90,47 @@ def test_alignment_columns(spark):
     df = spark.createDataFrame([("ACGT", "ACT"), ("AC", "AC")], "a string, b string")
     got = [tuple(r["x"]) for r in df.select(alignment.global_alignment(F.col("a"), F.col("b")).alias("x")).collect()]
     assert got[1] == ("AC", "AC", 2) and got[0][0].replace("-", "") == "ACGT"
+
+
+def test_windows_of_long_and_short_sequences(spark):
+    from helixframe.operators.index import windows
+
+    texts = {1: "ACGT" * 200 + "GATTACA" * 50, 2: "ACG", 3: "", 4: "A" * 256, 5: "C" * 257, 6: None}
+    got = windows(spark.createDataFrame(list(texts.items()), "q_id long, seq string"), 3, 10).collect()
+    want = [(q, i + 1, s[i : i + 10]) for q, s in texts.items() if s for i in range(len(s) - 2)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_map_exact_reads_of_several_lengths(spark):
+    from helixframe.operators.mapping import map_exact
+
+    import random
+
+    dice = random.Random(3)
+    genome = "".join(dice.choice("ACGT") for _ in range(900)) + "ACGT" * 20
+    reads = [genome[a : a + n] for a, n in ((0, 40), (10, 33), (250, 300), (500, 32), (900, 36), (3, 31), (700, 100), (700, 100))] + ["A" * 50, ""]
+    got = map_exact(spark.createDataFrame([(7, genome), (8, genome[:35]), (9, "")], "q_id long, seq string"), spark.createDataFrame(list(enumerate(reads)), "read_no long, seq string"))
+    want = [(q, i, p, p + len(r)) for q, g in ((7, genome), (8, genome[:35])) for i, r in enumerate(reads) if len(r) >= 32 for p in range(len(g)) if g.startswith(r, p)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_map_hamming_by_brute_force(spark):
+    from helixframe.operators.mapping import map_hamming
+
+    import random
+
+    dice = random.Random(5)
+    base = ["".join(dice.choice("ACGTN") for _ in range(47)) for _ in range(6)]
+    seqs = [("".join(dice.choice("ACGTN") if dice.random() < 0.06 else c for c in s)) for s in base for _ in range(12)] + base + base[:2] + ["ACG"]
+    first = {}
+    for i, s in enumerate(seqs):
+        first.setdefault(s, i)
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_no long, seq string")
+    for errors in (0, 1, 4, 46):
+        want = []
+        for a, i in first.items():
+            for b, j in first.items():
+                d = sum(x != y for x, y in zip(a, b, strict=False))
+                if i < j and len(a) == len(b) == 47 and d <= errors:
+                    want.append((i, j, d))
+        assert sorted(tuple(r) for r in map_hamming(reads, errors, 47).collect()) == sorted(want)

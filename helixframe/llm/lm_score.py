@@ -146,10 +146,9 @@ def _ask(parts: int):
                 part = rows["part"].to_numpy()[t.doc]
                 counts = [np.bincount(at[part == v], minlength=len(keys)) for keys, at in ((t.one, t.one_at), (t.two, t.two_at)) for v in (0, 1)]
                 out = []
-                for p in range(parts):
+                for p in np.flatnonzero((np.diff(t.one_cut) > 0) | (np.diff(t.two_cut) > 0)).tolist():
                     a, b, c, d = *t.one_cut[p : p + 2], *t.two_cut[p : p + 2]
-                    if b > a or d > c:
-                        out.append((p, block, _rising(t.one[a:b]), *(_planes(x[a:b]) for x in counts[:2]), _rising(t.two[c:d]), *(_planes(x[c:d]) for x in counts[2:])))
+                    out.append((p, block, _rising(t.one[a:b]), *(_planes(x[a:b]) for x in counts[:2]), _rising(t.two[c:d]), *(_planes(x[c:d]) for x in counts[2:])))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64()] + [pa.binary()] * 6, strict=True)], names=[f.split()[0] for f in _REQUEST.split(", ")])
 

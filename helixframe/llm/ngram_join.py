@@ -33,6 +33,7 @@ exact copies are one node and count by their number.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -425,6 +426,21 @@ def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.join(hot, "pivot").unionByName(rest)
 
 
+def _banded(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows (pivot, node, n, …) of a pivot's cells dealt by size, each into two parts; `pivot` names the part, `lower` tells the row's first.
+
+    Sizes of two linked sets differ by a factor of den/num at most, so in
+    bands of that width (a little more, for rounding) they lie in one or in
+    two neighbours. Part c has the bands c and c + 1; one without rows of band
+    c has nothing that part c + 1 hasn't. Names are hashes: parts of one name
+    are searched as one, which only tests more pairs.
+    """
+    width = max(math.log(den / num), 1e-3) * (1 + 1e-6)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width))
+    dealt = rows.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+    return dealt.withColumn("pivot", F.xxhash64("pivot", band - F.col("up"))).withColumn("lower", F.col("up") == 0).drop("up")
+
+
 def _near_pivots(star: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): pivots and the members of their cells that the trees find near them. A large cell is searched in blocks, in as many tasks."""
     ni = F.ceil(F.col("every") / CELL_BLOCK).cast("int")
@@ -493,13 +509,13 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     found = materialize(links.verify(_near_pivots(star, nodes, num, den), "fine"), "links")
     roots = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # the cells of one pivot together; where all ended in one component, or none is left beside the pivot, nothing is open
-    members = star.union(star.select("pivot", "pivot").distinct())
-    rows = materialize(_rooted(members, roots, "node").select("pivot", "node", "root"), "members")
-    sizes = rows.groupBy("pivot", "root").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.sum("c").alias("every"), F.max(F.struct("c", "root")).alias("most"))
-    # a pair of two components has an end outside the largest one
-    sizes = sizes.where("every > 2 and every > most.c").select("pivot", "every", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj"))
-    blocks = _sized(rows, materialize(sizes, "pivots")).join(nodes.select("node", "n", "middle"), "node")
+    # the members of one pivot's cells together, by size; the pivot itself has been compared with all of them
+    known = _rooted(nodes.select("node", "n"), roots, "node")
+    rows = _banded(materialize(star.join(known, "node").select("pivot", "node", "root", "n"), "members"), num, den)
+    sizes = rows.groupBy("pivot", "root").agg(F.count("*").alias("c"), F.max("lower").alias("lower")).groupBy("pivot").agg(F.sum("c").alias("every"), F.max("lower").alias("lower"), F.max(F.struct("c", "root")).alias("most"))
+    # a pair of two components has an end outside the largest one; where all ended in one component nothing is open
+    sizes = sizes.where("lower and every > most.c").select("pivot", "every", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj"))
+    blocks = _sized(rows.drop("lower", "n"), materialize(sizes, "pivots")).join(nodes.select("node", "n", "middle"), "node")
     blocks = materialize(blocks.withColumn("minor", F.col("root") != F.col("main")), "cell-rows")
     pairs = _searched(blocks, num, den, both=False)
     if pairs is not None:

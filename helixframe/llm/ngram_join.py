@@ -72,20 +72,30 @@ def node_of(members: np.ndarray) -> int:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """The groups as a power of two, the width of a number, then the numbers."""
-    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
-    return bytes([len(counts).bit_length() - 1, width]) + counts.astype(f"<u{width}").tobytes()
+    """The groups as a power of two, the width of a number in half bytes, then the numbers."""
+    most = counts.max()
+    head = len(counts).bit_length() - 1
+    if most < 1 << 4:
+        return bytes([head, 1]) + (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([head, 2 * width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def count_vectors(members: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """The counts of a set in GROUPS groups, and in about as many groups as it has members: at most MIDDLE, at most FINE."""
-    groups = min(max(GROUPS, 1 << len(members).bit_length()), FINE)
+    """The counts of a set in GROUPS groups, in groups of two to four members (MIDDLE at most) and of one or two (FINE at most)."""
+    bits = len(members).bit_length()
+    groups, middle = min(max(GROUPS, 1 << bits >> 1), FINE), min(max(GROUPS, 1 << bits >> 2), MIDDLE)
     fine = np.bincount((members >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
-    return _packed(fine.reshape(-1, GROUPS).sum(axis=0)), _packed(fine.reshape(-1, min(groups, MIDDLE)).sum(axis=0)), _packed(fine)
+    return _packed(fine.reshape(-1, GROUPS).sum(axis=0)), _packed(fine.reshape(-1, middle).sum(axis=0)), _packed(fine)
 
 
 def point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[1]}", offset=2).astype(np.int32)
+    if raw[1] > 1:
+        return np.frombuffer(raw, f"<u{raw[1] >> 1}", offset=2).astype(np.int32)
+    both = np.frombuffer(raw, np.uint8, offset=2)
+    counts = np.empty(2 * len(both), np.int32)
+    counts[::2], counts[1::2] = both & 15, both >> 4
+    return counts
 
 
 def shared_at_most(a: bytes, b: bytes) -> int:
@@ -442,13 +452,18 @@ def _banded(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _near_pivots(star: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pivots and the members of their cells that the trees find near them. A large cell is searched in blocks, in as many tasks."""
+    """(a, b): pivots and the members of their cells that the trees find near them. A large cell is searched in blocks, in as many tasks.
+
+    Members whose size alone rules a link with the pivot out get no point.
+    """
     ni = F.ceil(F.col("every") / CELL_BLOCK).cast("int")
-    sizes = materialize(star.groupBy("pivot").agg(F.count("*").alias("every")).withColumn("ni", ni), "pivots")
-    members = _sized(star, sizes).select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("ni")).cast("int").alias("i"))
-    leads = sizes.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
+    sizes = star.groupBy("pivot").agg(F.count("*").alias("every")).withColumn("ni", ni)
+    sizes = materialize(sizes.join(nodes.select(F.col("node").alias("pivot"), F.col("n").alias("n_p")), "pivot"), "pivots")
+    members = _sized(star, sizes).select("pivot", "node", "n_p", F.pmod(F.xxhash64("node"), F.col("ni")).cast("int").alias("i"))
+    leads = sizes.select("pivot", F.col("pivot").alias("node"), "n_p", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
     groups = -(-(sizes.agg(F.sum(F.col("every") + F.col("ni"))).first()[0] or 0) // CELL_ROWS)
-    dealt = members.union(leads).join(nodes.select("node", "n", "point"), "node").withColumn("g", F.pmod(F.xxhash64("pivot", "i"), F.lit(max(1, groups))))
+    dealt = members.union(leads).join(nodes.select("node", "n", "point"), "node").where(F.lit(num + den) * F.least("n", "n_p") >= F.lit(num) * (F.col("n") + F.col("n_p"))).drop("n_p")
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("pivot", "i"), F.lit(max(1, groups))))
     return dealt.groupBy("g").applyInPandas(_pivot_pairs(num, den), "a long, b long")
 
 

@@ -50,6 +50,8 @@ def dependents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, starts: DataFrame, only: DataFrame | None = None, never: DataFrame | None = None, lengths: DataFrame | None = None, limit: int | None = None, rounds: int = 1000) -> DataFrame:
     """(start, node, dist) of all nodes reached from each start, itself included at 0.
 
+    Starts are nodes, or nodes with a `start` that names a set of them.
+
     only and never restrict the nodes that may be entered. With lengths (node,
     len) a step costs len - ol, dist is the smallest sum and paths longer than
     limit end; without them dist counts steps. Each round joins the frontier
@@ -66,7 +68,7 @@ def reach(edges: DataFrame, starts: DataFrame, only: DataFrame | None = None, ne
     else:
         steps = steps.withColumn("cost", F.lit(1))
     steps = materialize(steps.groupBy("src", "dst").agg(F.min("cost").cast("long").alias("cost")), "steps")
-    known = materialize(starts.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("dist"), F.lit(True).alias("fresh")).distinct(), "reach")
+    known = materialize(starts.select(F.col("start" if "start" in starts.columns else "node").alias("start"), "node", F.lit(0).cast("long").alias("dist"), F.lit(True).alias("fresh")).distinct(), "reach")
     for _ in range(rounds):
         moved = known.where("fresh").select("start", F.col("node").alias("src"), "dist").join(steps, "src").select("start", F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"))
         if limit is not None:
@@ -86,7 +88,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def exclusive(edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(side, node): what a reaches and b doesn't, and the reverse."""
-    ra, rb = (reach(edges, x).select("node").distinct() for x in (a, b))
+    ra, rb = (reach(edges, x.select(F.lit(0).alias("start"), "node")).select("node") for x in (a, b))
     return ra.exceptAll(rb).select(F.lit("a").alias("side"), "node").union(rb.exceptAll(ra).select(F.lit("b").alias("side"), "node"))
 
 

@@ -469,66 +469,47 @@ def components(spark, sf_dir):
     return graph.components(edges, nodes)
 
 
-_STARTS = "starts AS (SELECT min(node_id) AS node FROM (SELECT doc_id, min(node_id) AS node_id FROM named GROUP BY doc_id) GROUP BY node_id // 1000000)"
-
-
-def _starts(nodes):
-    """The first node of each million of ids."""
-    return nodes.groupBy(F.expr("node div 1000000").alias("b")).agg(F.min("node").alias("node")).select("node")
+_REACH_ALL = f"WITH RECURSIVE {EDGES}, starts AS (SELECT node_id AS node FROM sequences)"
+#: What is reached without a limit grows with the square of a document, so those queries ask for the nodes whose id is divisible by 100.
+_REACH = f"WITH RECURSIVE {EDGES}, starts AS (SELECT node_id AS node FROM sequences WHERE node_id % 100 = 0)"
 
 
-_REACH = f"""WITH RECURSIVE {EDGES}, starts AS (SELECT min(node_id) AS node FROM sequences GROUP BY node_id // 1000000)"""
+def _asked(nodes):
+    return nodes.where("node % 100 = 0").select("node")
 
 
-@query(f"""{_REACH}, walk AS (SELECT node AS start, node, 0::BIGINT AS dist FROM starts UNION SELECT start, dst, dist + 100 - ol FROM walk JOIN edges ON src = node WHERE dist + 100 - ol <= 400)
+@query(f"""{_REACH_ALL}, walk AS (SELECT node AS start, node, 0::BIGINT AS dist FROM starts UNION SELECT start, dst, dist + 100 - ol FROM walk JOIN edges ON src = node WHERE dist + 100 - ol <= 400)
 SELECT start, node, min(dist) AS dist FROM walk GROUP BY start, node""")
 def reach_limited(spark, sf_dir):
     edges, nodes = _graph(spark, sf_dir)
-    return graph.reach(edges, _starts(nodes), lengths=nodes.select("node", F.length("seq").alias("len")), limit=400)
+    return graph.reach(edges, nodes.select("node"), lengths=nodes.select("node", F.length("seq").alias("len")), limit=400)
 
 
 @query(f"""{_REACH}, walk AS (SELECT node AS start, node FROM starts UNION SELECT start, dst FROM walk JOIN edges ON src = node JOIN sequences ON node_id = dst WHERE n_reads = 1) SELECT start, node FROM walk""")
 def reach_in(spark, sf_dir):
     edges, nodes = _graph(spark, sf_dir)
-    return graph.reach(edges, _starts(nodes), only=nodes.where("n_reads = 1")).select("start", "node")
+    return graph.reach(edges, _asked(nodes), only=nodes.where("n_reads = 1")).select("start", "node")
 
 
 @query(f"""{_REACH}, walk AS (SELECT node AS start, node FROM starts UNION SELECT start, dst FROM walk JOIN edges ON src = node WHERE dst % 10 <> 7) SELECT start, node FROM walk""")
 def reach_not(spark, sf_dir):
     edges, nodes = _graph(spark, sf_dir)
-    return graph.reach(edges, _starts(nodes), never=nodes.where("node % 10 = 7")).select("start", "node")
-
-
-@query(f"""{_REACH}, walk AS (SELECT node AS start, node, 0::BIGINT AS dist FROM starts UNION SELECT start, dst, dist + 1 FROM walk JOIN edges ON src = node WHERE dist < 12) SELECT start, node, min(dist) AS dist FROM walk GROUP BY start, node""")
-def shortest_dist(spark, sf_dir):
-    edges, nodes = _graph(spark, sf_dir)
-    return graph.reach(edges, _starts(nodes), limit=12)
-
-
-_REACH_ALL = f"WITH RECURSIVE {EDGES}, starts AS (SELECT node_id AS node FROM sequences)"
-
-
-@query(f"""{_REACH_ALL}, walk AS (SELECT node AS start, node, 0::BIGINT AS dist FROM starts UNION SELECT start, dst, dist + 100 - ol FROM walk JOIN edges ON src = node WHERE dist + 100 - ol <= 400)
-SELECT start, node, min(dist) AS dist FROM walk GROUP BY start, node""")
-def reach_limited_all(spark, sf_dir):
-    edges, nodes = _graph(spark, sf_dir)
-    return graph.reach(edges, nodes.select("node"), lengths=nodes.select("node", F.length("seq").alias("len")), limit=400)
+    return graph.reach(edges, _asked(nodes), never=nodes.where("node % 10 = 7")).select("start", "node")
 
 
 @query(f"""{_REACH_ALL}, walk AS (SELECT node AS start, node, 0::BIGINT AS dist FROM starts UNION SELECT start, dst, dist + 1 FROM walk JOIN edges ON src = node WHERE dist < 12) SELECT start, node, min(dist) AS dist FROM walk GROUP BY start, node""")
-def shortest_dist_all(spark, sf_dir):
+def shortest_dist(spark, sf_dir):
     edges, nodes = _graph(spark, sf_dir)
     return graph.reach(edges, nodes.select("node"), limit=12)
 
 
-_SIDES = f"""{_REACH}, ends AS (SELECT min(node) AS a, max(node) AS b FROM starts), ra AS (SELECT a AS node FROM ends UNION SELECT dst FROM ra JOIN edges ON src = node), rb AS (SELECT b AS node FROM ends UNION SELECT dst FROM rb JOIN edges ON src = node)"""
+_SIDES = f"""WITH RECURSIVE {EDGES}, ra AS (SELECT node_id AS node FROM sequences WHERE n_reads = 1 UNION SELECT dst FROM ra JOIN edges ON src = node), rb AS (SELECT node_id AS node FROM sequences WHERE n_reads > 1 UNION SELECT dst FROM rb JOIN edges ON src = node)"""
 
 
 @query(f"{_SIDES} SELECT 'a' AS side, node FROM ra WHERE node NOT IN (SELECT node FROM rb) UNION ALL SELECT 'b', node FROM rb WHERE node NOT IN (SELECT node FROM ra)")
 def set_exclusive(spark, sf_dir):
     edges, nodes = _graph(spark, sf_dir)
-    s = _starts(nodes)
-    return graph.exclusive(edges, s.agg(F.min("node").alias("node")), s.agg(F.max("node").alias("node")))
+    return graph.exclusive(edges, nodes.where("n_reads = 1"), nodes.where("n_reads > 1"))
 
 
 _LINKS = f"""{EDGES}, steps AS (SELECT src, dst, CASE WHEN src % 17 = 0 THEN 0 ELSE ol END AS ol FROM edges WHERE ol = 60), o AS (SELECT src, min(dst) AS dst FROM steps GROUP BY src HAVING count(*) = 1 AND min(ol) > 0), i AS (SELECT dst FROM steps GROUP BY dst HAVING count(*) = 1), links AS (SELECT src, dst FROM o JOIN i USING (dst))"""

@@ -29,6 +29,8 @@ def test_sets_and_reach(spark):
     assert got(graph.between(e, one, nodes_of(spark, [4])), "node") == [(1,), (2,), (3,), (4,)]
     assert got(graph.looped(e, nodes_of(spark, range(1, 9))), "node") == [(2,), (3,), (4,)]
     assert got(graph.exclusive(e, one, nodes_of(spark, [6])), "side", "node") == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 6)]
+    two = nodes_of(spark, [2, 3]).selectExpr("0L AS start", "node")
+    assert got(graph.reach(e, two), "start", "node", "dist") == [(0, 2, 0), (0, 3, 0), (0, 4, 1), (0, 5, 1)]
     assert got(graph.components(e, nodes_of(spark, range(1, 10))), "node", "component") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 9)]
     assert got(graph.open_ends(e, nodes_of(spark, range(1, 9))), "node") == [(5,), (8,)]
     assert got(graph.dependents(e, nodes_of(spark, [2, 7])), "node") == [(3,), (8,)]

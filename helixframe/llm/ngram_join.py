@@ -423,32 +423,38 @@ def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     return docs, each, nodes, star
 
 
-def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _sized(rows: DataFrame, sizes: DataFrame, shift: int = 16) -> DataFrame:
     """rows (pivot, …) joined with sizes (pivot, every, …).
 
-    Pivots with more than a 65536th of all rows (so fewer than 65536 of them)
+    Pivots with more than a 2**shift-th of all rows (so fewer than twice 2**shift of them)
     are broadcast, so that no pivot's rows meet in one task; the others are
     small by that.
     """
-    least = max(CELL_BLOCK, rows.count() >> 16)
+    least = max(CELL_BLOCK, rows.count() >> shift)
     hot = F.broadcast(sizes.where(F.col("every") > least))
     rest = rows.join(hot.select("pivot"), "pivot", "left_anti").join(sizes.where(F.col("every") <= least), "pivot")
     return rows.join(hot, "pivot").unionByName(rest)
 
 
-def _banded(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (pivot, node, n, …) of a pivot's cells dealt by size, each into two parts; `pivot` names the part, `lower` tells the row's first.
+def _band(num: int, den: int):
+    """Sizes of two linked sets differ by a factor of den/num at most, so in bands of that width (a little more, for rounding) they lie in one or in two neighbours."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(max(math.log(den / num), 1e-3) * (1 + 1e-6)))
 
-    Sizes of two linked sets differ by a factor of den/num at most, so in
-    bands of that width (a little more, for rounding) they lie in one or in
-    two neighbours. Part c has the bands c and c + 1; one without rows of band
-    c has nothing that part c + 1 hasn't. Names are hashes: parts of one name
-    are searched as one, which only tests more pairs.
+
+def _open_parts(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, every, parts) of rows (pivot, node, root, n): what is left to be searched of a pivot's cells, by size.
+
+    Part c has the bands c and c + 1. It is open where members ended in
+    several components and some are of band c; one without these has nothing
+    that part c + 1 hasn't. A pivot has as many parts as sizes have bands.
     """
-    width = max(math.log(den / num), 1e-3) * (1 + 1e-6)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width))
-    dealt = rows.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-    return dealt.withColumn("pivot", F.xxhash64("pivot", band - F.col("up"))).withColumn("lower", F.col("up") == 0).drop("up")
+    dealt = rows.withColumn("band", _band(num, den)).withColumn("c", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    counts = dealt.groupBy("pivot", "c", "root").agg(F.count("*").alias("k"), F.max(F.col("c") == F.col("band")).alias("lower"))
+    parts = counts.groupBy("pivot", "c").agg(F.sum("k").alias("every"), F.max("lower").alias("lower"), F.max(F.struct("k", "root")).alias("most")).where("lower and every > most.k")
+    # a pair of two components has an end outside the largest one
+    ni, nj = (F.ceil(x / CELL_BLOCK).cast("int") for x in (F.col("every") - F.col("most.k"), F.col("every")))
+    part = F.struct("c", F.col("most.root").alias("main"), ni.alias("ni"), nj.alias("nj"))
+    return parts.groupBy("pivot").agg(F.sum("every").alias("every"), F.collect_list(part).alias("parts"))
 
 
 def _near_pivots(star: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -526,11 +532,10 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     # the members of one pivot's cells together, by size; the pivot itself has been compared with all of them
     known = _rooted(nodes.select("node", "n"), roots, "node")
-    rows = _banded(materialize(star.join(known, "node").select("pivot", "node", "root", "n"), "members"), num, den)
-    sizes = rows.groupBy("pivot", "root").agg(F.count("*").alias("c"), F.max("lower").alias("lower")).groupBy("pivot").agg(F.sum("c").alias("every"), F.max("lower").alias("lower"), F.max(F.struct("c", "root")).alias("most"))
-    # a pair of two components has an end outside the largest one; where all ended in one component nothing is open
-    sizes = sizes.where("lower and every > most.c").select("pivot", "every", F.col("most.root").alias("main"), F.ceil((F.col("every") - F.col("most.c")) / CELL_BLOCK).cast("int").alias("ni"), F.ceil(F.col("every") / CELL_BLOCK).cast("int").alias("nj"))
-    blocks = _sized(rows.drop("lower", "n"), materialize(sizes, "pivots")).join(nodes.select("node", "n", "middle"), "node")
+    rows = materialize(star.join(known, "node").select("pivot", "node", "root", "n"), "members")
+    own = _sized(rows, materialize(_open_parts(rows, num, den), "pivots"), 12).withColumn("band", _band(num, den))
+    own = own.withColumn("p", F.explode(F.filter("parts", lambda p: (p["c"] == F.col("band")) | (p["c"] == F.col("band") - 1))))
+    blocks = own.select(F.xxhash64("pivot", "p.c").alias("pivot"), "node", "root", "p.main", "p.ni", "p.nj").join(nodes.select("node", "n", "middle"), "node")
     blocks = materialize(blocks.withColumn("minor", F.col("root") != F.col("main")), "cell-rows")
     pairs = _searched(blocks, num, den, both=False)
     if pairs is not None:

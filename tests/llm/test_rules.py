@@ -116,6 +116,32 @@ def test_large_cells_are_dealt_over_blocks(spark, monkeypatch):
     assert got == {i: 0 for i in range(50)} | {100 + i: 100 + i for i in range(10)}
 
 
+def test_vectors_keep_counts_and_bound_what_sets_share():
+    for most in (1, 15, 16, 255, 256, 70_000):
+        counts = np.zeros(64, np.int64)
+        counts[3], counts[4] = most, 1
+        assert ngram_join.point(ngram_join._packed(counts)).tolist() == counts.tolist()
+    words = np.unique(tx.mix(np.arange(3000, dtype=np.uint64)))
+    for n, m in ((2, 40), (90, 100), (500, 2900)):
+        a, b = ngram_join.count_vectors(words[:n]), ngram_join.count_vectors(words[:m])
+        assert [len(ngram_join.point(x)) for x in a] <= [64, 256, 4096]
+        assert all(ngram_join.shared_at_most(x, y) == n for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (8, 10), (1, 2)])
+def test_sizes_that_can_link_are_in_neighbouring_bands(spark, num, den):
+    sizes = spark.range(1, 20_000).withColumnRenamed("id", "n")
+    most = sizes.select(F.floor(F.col("n") * den / num).alias("n"), F.col("n").alias("least"))
+    pairs = most.withColumn("high", ngram_join._band(num, den)).select("high", F.col("least").alias("n")).withColumn("low", ngram_join._band(num, den))
+    assert pairs.where("high - low not in (0, 1)").count() == 0
+
+
+def test_open_parts_have_what_may_link(spark):
+    rows = [(1, 2, 2, 90), (1, 3, 3, 100), (1, 4, 4, 50), (5, 6, 6, 90), (5, 7, 6, 95), (8, 9, 9, 10)]
+    (got,) = ngram_join._open_parts(spark.createDataFrame(rows, "pivot long, node long, root long, n long"), 90, 100).collect()
+    assert (got["pivot"], got["every"]) == (1, 2) and len(got["parts"]) == 1
+
+
 # --- names
 
 

@@ -19,8 +19,8 @@ in a cell. Within a cell:
    pivot, finer vectors and then the sets verify: connected components come
    from that;
 2. the cells of a pivot whose members ended in several components are
-   searched again by R-trees over blocks of their points, for pairs of two
-   components.
+   searched again, in parts of sizes that may link, by R-trees over blocks of
+   their points, for pairs of two components.
 
 For components a pair in one component needs no second look, so connectivity
 is whole though not every link is looked at, and a group of g copies costs g

@@ -153,3 +153,22 @@ def test_growth_that_is_cut_short_raises(spark):
     reads = spark.createDataFrame([(i, text[a : a + 100]) for i, a in enumerate(range(0, 301, 20))], "read_no long, seq string")
     with pytest.raises(RuntimeError):
         extension.grow(spark.createDataFrame([(1, text[:100])], "q_id long, seq string"), reads, 45, 1000, rounds=1)
+
+
+def test_unary_chain_merge_leaves_rings_out(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from helixframe.registry import ORACLES, QUERIES
+
+    r = random.Random(7)
+    # a text of period 200 has five windows that follow one another in a ring; the first one's id is no multiple of 17
+    period, line = ("".join(r.choice("ACGT") for _ in range(n)) for n in (200, 500))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(1, period * 3), (2, line)])
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    want = con.execute(f"SELECT node, chain, place FROM ({ORACLES['unary_chain_merge']})").fetchall()
+    got = QUERIES["unary_chain_merge"](spark, str(tmp_path)).select("node", "chain", "place").collect()
+    assert sorted(tuple(x) for x in got) == sorted(want)

@@ -170,9 +170,8 @@ def weak_spot(stretches: DataFrame) -> DataFrame:
 
 def mutual_best(overlaps: DataFrame) -> DataFrame:
     """Overlaps (q_id, read_no, over_len) that are the longest of both their reads; ties to the smaller id."""
-    mine = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("over_len"), "read_no"))
-    theirs = F.row_number().over(Window.partitionBy("read_no").orderBy(F.desc("over_len"), "q_id"))
-    return overlaps.withColumn("a", mine).withColumn("b", theirs).where("a = 1 and b = 1").drop("a", "b")
+    best = lambda own, other: overlaps.groupBy(own).agg(F.max(F.struct("over_len", (-F.col(other)).alias("back"))).alias("b")).select(own, (-F.col("b.back")).alias(other), "b.over_len")
+    return best("q_id", "read_no").join(best("read_no", "q_id"), ["q_id", "read_no", "over_len"])
 
 
 def bridges(ends: DataFrame, heads: DataFrame, hits: DataFrame, least: int = 25) -> DataFrame:

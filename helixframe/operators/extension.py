@@ -73,9 +73,10 @@ def volumes(overlaps: DataFrame) -> DataFrame:
     return once.withColumn("least", F.min("ext_len").over(Window.partitionBy("q_id"))).groupBy("q_id").agg(F.sum(F.col("ext_len") - F.col("least")).alias("volume"))
 
 
-def next_bases(overlaps: DataFrame) -> DataFrame:
-    """(q_id, base, n): bases that follow the query; beside one of STRONG_BRANCH reads or more others need two, else one."""
-    counts = overlaps.where("ext_len > 0").groupBy("q_id", F.substring("ext", 1, 1).alias("base")).agg(F.count("*").alias("n"))
+def next_bases(overlaps: DataFrame, reads: str | None = None) -> DataFrame:
+    """(q_id, base, n): bases that follow the query; beside one of STRONG_BRANCH reads or more others need two, else one. A row counts as one read, or as many as the column `reads` says."""
+    count = F.sum(reads) if reads else F.count("*")
+    counts = overlaps.where("ext_len > 0").groupBy("q_id", F.substring("ext", 1, 1).alias("base")).agg(count.alias("n"))
     top = F.max("n").over(Window.partitionBy("q_id"))
     return counts.withColumn("top", top).where((F.col("n") >= 2) | (F.col("top") < STRONG_BRANCH)).drop("top")
 

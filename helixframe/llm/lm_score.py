@@ -115,9 +115,10 @@ def _planes(values: np.ndarray) -> bytes:
     return bytes([width]) + np.ascontiguousarray(raw.T).tobytes()
 
 
-def _numbers(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+def _numbers(raw: bytes | pa.Buffer) -> np.ndarray:
+    every = np.frombuffer(raw, np.uint8)
+    width = int(every[0])
+    planes = every[1:].reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").ravel()
@@ -128,7 +129,7 @@ def _rising(keys: np.ndarray) -> bytes:
     return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _risen(raw: bytes) -> np.ndarray:
+def _risen(raw: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(_numbers(raw), dtype=np.uint64)
 
 
@@ -160,23 +161,42 @@ _REPLY = "block long, part int, one binary, two binary, one_h binary, two_h bina
 
 def _summed(keys: list[np.ndarray], n: list[bytes], h: list[bytes]) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
     """For each block the counts over all blocks: of all training documents for all keys, and without the held-out part for keys that the block has there."""
-    every = np.concatenate(keys)
-    own_n, own_h = (np.concatenate([_numbers(x) for x in y]).astype(np.int64) for y in (n, h))
-    found, inverse = np.unique(every, return_inverse=True)
-    model = np.bincount(inverse, weights=own_n, minlength=len(found)).astype(np.int64)
-    total = model + np.bincount(inverse, weights=own_h, minlength=len(found)).astype(np.int64)
     cut = np.cumsum([len(k) for k in keys])[:-1]
-    whole = [_planes(x) for x in np.split(total[inverse], cut)]
-    held = [_planes(x[y > 0]) for x, y in zip(np.split(model[inverse], cut), np.split(own_h, cut), strict=True)]
+    every = np.concatenate(keys)
+    keys.clear()
+    # places of the distinct keys, in half the room of np.unique's
+    order = np.argsort(every, kind="stable").astype(np.uint32 if len(every) < 1 << 32 else np.int64)
+    every = every[order]
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = every[1:] != every[:-1]
+    del every
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    distinct = int(fresh.sum())
+    del order, fresh
+    own_h = np.concatenate([_numbers(x) for x in h])
+    held_any = np.split(own_h > 0, cut)
+    total = np.bincount(inverse, weights=own_h, minlength=distinct).astype(np.int64)
+    del own_h
+    model = np.bincount(inverse, weights=np.concatenate([_numbers(x) for x in n]), minlength=distinct).astype(np.int64)
+    total += model
+    places = np.split(inverse, cut)
+    whole = [_planes(total[at]) for at in places]
+    held = [_planes(model[at[own]]) for at, own in zip(places, held_any, strict=True)]
     return whole, held, total, model
 
 
-def _reply(pdf: pd.DataFrame) -> pd.DataFrame:
-    one, one_h, total, model = _summed([_risen(x) for x in pdf["one"]], list(pdf["one_n"]), list(pdf["one_h"]))
-    two, two_h, _, _ = _summed([_risen(x) for x in pdf["two"]], list(pdf["two_n"]), list(pdf["two_h"]))
-    out = pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "one": one, "two": two, "one_h": one_h, "two_h": two_h, "tokens": 0, "words": 0, "tokens_h": 0, "words_h": 0})
-    out.iloc[0, 6:] = [int(total.sum()), int((total > 0).sum()), int(model.sum()), int((model > 0).sum())]
-    return out.astype({"block": "int64", "part": "int32", "tokens": "int64", "words": "int64", "tokens_h": "int64", "words_h": "int64"})
+def _reply(asked: pa.Table) -> pa.Table:
+    """The replies to all requests of a part. Requests are read where they lie in Arrow's memory, unigrams are done with before bigrams begin."""
+    buffers = lambda name: [x.as_buffer() for x in asked[name]]
+    binary = lambda x: pa.array(x, pa.binary())
+    one, one_h, total, model = _summed([_risen(x) for x in buffers("one")], buffers("one_n"), buffers("one_h"))
+    one, one_h = binary(one), binary(one_h)
+    sums = [int(total.sum()), int((total > 0).sum()), int(model.sum()), int((model > 0).sum())]
+    del total, model
+    two, two_h = (binary(x) for x in _summed([_risen(x) for x in buffers("two")], buffers("two_n"), buffers("two_h"))[:2])
+    rest = [pa.array([x] + [0] * (asked.num_rows - 1), pa.int64()) for x in sums]
+    return pa.table([asked["block"], asked["part"], one, two, one_h, two_h, *rest], names=[f.split()[0] for f in _REPLY.split(", ")])
 
 
 def _counts(replies: pd.DataFrame, column: str) -> np.ndarray:
@@ -277,7 +297,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     packed = materialize(rows.mapInArrow(_pack, "docs binary, fitted binary").withColumn("block", F.monotonically_increasing_id()), "packed")
     parts = max(1, round(size / 9 / PART))
-    replies = packed.select("block", "docs").mapInArrow(_ask(parts), _REQUEST).groupBy("part").applyInPandas(_reply, _REPLY)
+    replies = packed.select("block", "docs").mapInArrow(_ask(parts), _REQUEST).groupBy("part").applyInArrow(_reply, _REPLY)
     replies = materialize(replies, "replies")
     total, words, total_h, words_h = (x or 0 for x in replies.agg(*(F.sum(c) for c in ("tokens", "words", "tokens_h", "words_h"))).first())
     cells = packed.select("block", "fitted").groupBy("block").cogroup(replies.select("block", "part", "one_h", "two_h").groupBy("block")).applyInPandas(_expect(parts, total_h, words_h), "cell long, n long, s2 double, s1 double")

@@ -177,18 +177,25 @@ def fit(examples: list[tuple[str, str]], seed: int = 1) -> Model:
 
 
 def _thresholds(model: Model, texts: list[str]) -> np.ndarray:
-    """Per class of length the score under which REJECT of the texts, whole and cut, fall; classes without any take the next shorter one's, the shortest the next longer one's."""
+    """Per class of length the score under which REJECT of the texts, whole and cut, fall.
+
+    So small a share needs 1 / REJECT texts: of fewer the least score would be
+    the limit, however high, and turn away texts that are as clear. A class
+    with fewer takes in shorter ones until it has them, then longer ones.
+    """
     cut = [" ".join(t.split()[:n]) for n in CUTS for t in texts if len(t.split()) > n]
     logits, length = model.logits(pa.array([*texts, *cut], pa.string()))
     score = _softmax(logits * model.temperature).max(axis=1)
-    found = np.full(LENGTHS, np.nan)
-    for c in np.unique(length):
-        own = np.sort(score[length == c])
-        found[c] = own[int(REJECT * len(own))]
-    known = np.flatnonzero(~np.isnan(found))
-    if not len(known):
-        return np.zeros(LENGTHS)
-    return found[known[np.maximum(np.searchsorted(known, np.arange(LENGTHS), "right") - 1, 0)]]
+    number = np.bincount(length, minlength=LENGTHS)
+    found = np.zeros(LENGTHS)
+    for c in range(LENGTHS):
+        low, high = c, c
+        while number[low : high + 1].sum() < 1 / REJECT and (low > 0 or high < LENGTHS - 1):
+            low, high = (low - 1, high) if low else (low, high + 1)
+        own = np.sort(score[(length >= low) & (length <= high)])
+        if len(own):
+            found[c] = own[int(REJECT * len(own))]
+    return found
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,3 +60,16 @@ def test_places_share_seeds(spark):
     own = mapping.grouped(seqs)
     rows = own.mapInArrow(mapping._seeded(45, False), "seq string, node long, n long, ids array<long>, key long, at int, lo int, hi int").count()
     assert rows < 200 * 8  # one for each place would be 55
+
+
+def test_map_exact_equals_brute_force_with_shared_seeds(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("ACGT") for _ in range(n)) for n in (700, 256, 512, 100, 40)] + ["ACGTA" * 130, "N" * 300]
+    reads = [(i, t[a : a + n]) for i, (t, a, n) in enumerate((r.choice(texts), r.randrange(0, 260), r.choice((40, 41, 60))) for _ in range(80))] + [(99, "AC"), (98, "ACGTA" * 9)]
+    want = [(q, i, a, a + len(s)) for q, t in enumerate(texts) for i, s in reads if len(s) >= 32 for a in range(len(t) - len(s) + 1) if t[a : a + len(s)] == s]
+    q, s = spark.createDataFrame(list(enumerate(texts)), "q_id long, seq string"), spark.createDataFrame(reads, "read_no long, seq string")
+    found = mapping.map_exact(q, s)
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want)
+    # places aren't exploded and there is one join
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1

@@ -170,8 +170,12 @@ def weak_spot(stretches: DataFrame) -> DataFrame:
 
 def mutual_best(overlaps: DataFrame) -> DataFrame:
     """Overlaps (q_id, read_no, over_len) that are the longest of both their reads; ties to the smaller id."""
-    best = lambda own, other: overlaps.groupBy(own).agg(F.max(F.struct("over_len", (-F.col(other)).alias("back"))).alias("b")).select(own, (-F.col("b.back")).alias(other), "b.over_len")
-    return best("q_id", "read_no").join(best("read_no", "q_id"), ["q_id", "read_no", "over_len"])
+    # both reads name their best in one pass, so the overlaps are found once; a pair that both name is mutual
+    side = lambda q, own, other: F.struct(F.lit(q).alias("q"), F.col(own).alias("own"), F.struct("over_len", (-F.col(other)).alias("back")).alias("b"))
+    sides = overlaps.select(F.explode(F.array(side(True, "q_id", "read_no"), side(False, "read_no", "q_id"))).alias("s")).select("s.*")
+    best = sides.groupBy("q", "own").agg(F.max("b").alias("b"))
+    named = best.select(F.when(F.col("q"), F.col("own")).otherwise(-F.col("b.back")).alias("q_id"), F.when(F.col("q"), -F.col("b.back")).otherwise(F.col("own")).alias("read_no"), "b.over_len")
+    return named.groupBy("q_id", "read_no", "over_len").agg(F.count("*").alias("n")).where("n = 2").drop("n")
 
 
 def bridges(ends: DataFrame, heads: DataFrame, hits: DataFrame, least: int = 25) -> DataFrame:

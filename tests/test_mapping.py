@@ -73,3 +73,10 @@ def test_map_exact_equals_brute_force_with_shared_seeds(spark):
     # places aren't exploded and there is one join
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_mutual_best_finds_overlaps_once(spark):
+    from helixframe.registry import QUERIES
+
+    plan = QUERIES["mutual_best"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1

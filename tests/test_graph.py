@@ -172,3 +172,39 @@ def test_unary_chain_merge_leaves_rings_out(spark, tmp_path):
     want = con.execute(f"SELECT node, chain, place FROM ({ORACLES['unary_chain_merge']})").fetchall()
     got = QUERIES["unary_chain_merge"](spark, str(tmp_path)).select("node", "chain", "place").collect()
     assert sorted(tuple(x) for x in got) == sorted(want)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_reach_equals_brute_force_over_blocks(spark, monkeypatch, weighted):
+    """Blocks of a few edges, ids far apart and below 0, ways that leave a block and return, starts that are a set or have no id."""
+    monkeypatch.setattr(graph, "BLOCK", 5)
+    monkeypatch.setattr(graph, "CELLS", 7)
+    rnd = random.Random(4)
+    ids = [i * 1000 - 9000 for i in range(30)]
+    ways = {(rnd.choice(ids), rnd.choice(ids)): rnd.randrange(1, 90) for _ in range(55)}
+    e = spark.createDataFrame([(a, b, ol) for (a, b), ol in ways.items()], "src long, dst long, ol int")
+    starts = [(1, ids[0]), (1, ids[5]), (None, ids[7]), (3, ids[3]), (4, None), (5, 10**15)]
+    for limit in (None, 2 if not weighted else 120):
+        want = {}
+        for s in {s for s, _ in starts}:
+            dist = {v: 0 for t, v in starts if t == s}
+            for _ in ids:
+                for (a, b), ol in ways.items():
+                    d = dist.get(a, 10**9) + (100 - ol if weighted else 1)
+                    if d <= (limit or 10**8) and d < dist.get(b, 10**9):
+                        dist[b] = d
+            want |= {(s, v): d for v, d in dist.items()}
+        lengths = spark.createDataFrame([(i, 100) for i in ids], "node long, len int") if weighted else None
+        found = graph.reach(e, spark.createDataFrame(starts, "start long, node long"), lengths=lengths, limit=limit).collect()
+        assert len(found) == len(want) and {(r["start"], r["node"]): r["dist"] for r in found} == want
+
+
+def test_reach_follows_a_long_way_in_few_rounds(spark):
+    e = edges_of(spark, [(i, i + 1) for i in range(400)])
+    assert got(graph.reach(e, nodes_of(spark, [0]), rounds=3), "node", "dist") == [(i, i) for i in range(401)]
+
+
+def test_reach_over_uneven_ids(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 1)
+    e = edges_of(spark, [(i, i + 1) for i in range(70)] + [(70, 10**17)])
+    assert got(graph.reach(e, nodes_of(spark, [60])), "node", "dist") == [(60 + i, i) for i in range(11)] + [(10**17, 11)]

@@ -80,3 +80,20 @@ def test_mutual_best_finds_overlaps_once(spark):
 
     plan = QUERIES["mutual_best"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_map_hamming_shuffles_its_keys_once(spark):
+    r = random.Random(9)
+    base = ["".join(r.choice("ACGT") for _ in range(60)) for _ in range(40)]
+    seqs = base + [s[:i] + "N" + s[i + 1 :] for i, s in enumerate(base)] + [s[:5] + s[7:] + "AC" for s in base]
+    rows = list(enumerate(dict.fromkeys(seqs)))
+    want = sorted((a, b, n) for a, s in rows for b, t in rows if a < b and (n := sum(x != y for x, y in zip(s, t, strict=True))) <= 6)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mapping.map_hamming(spark.createDataFrame(rows, "read_no long, seq string"), 6, 60)
+        assert sorted(tuple(x) for x in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)

@@ -208,3 +208,11 @@ def test_reach_over_uneven_ids(spark, monkeypatch):
     monkeypatch.setattr(graph, "BLOCK", 1)
     e = edges_of(spark, [(i, i + 1) for i in range(70)] + [(70, 10**17)])
     assert got(graph.reach(e, nodes_of(spark, [60])), "node", "dist") == [(60 + i, i) for i in range(11)] + [(10**17, 11)]
+
+
+def test_reach_without_distances(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 2)
+    e = edges_of(spark, [(1, 9), (9, 2), (1, 2), (2, 3), (3, 1), (7, 1)])
+    assert got(graph.reach(e, nodes_of(spark, [1, 2]), dists=False), "start", "node", "dist") == [(s, v, 0) for s in (1, 2) for v in (1, 2, 3, 9)]
+    with pytest.raises(ValueError):
+        graph.reach(e, nodes_of(spark, [1]), dists=False, limit=2)

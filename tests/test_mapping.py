@@ -62,6 +62,33 @@ def test_places_share_seeds(spark):
     assert rows < 200 * 8  # one for each place would be 55
 
 
+def test_only_seeds_that_a_head_has_travel(spark):
+    r = random.Random(7)
+    text = "".join(r.choice("ACGT") for _ in range(8100))
+    rows = [(i, text[i * 40 : i * 40 + 100]) for i in range(200)] + [(999, text[:100])]
+    reads = spark.createDataFrame(rows, "read_no long, seq string")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mapping.overlap_join(reads, 45)
+        assert sorted(tuple(x) for x in found.collect()) == sorted(_brute(rows, 45))
+        plan = found._jdf.queryExecution().executedPlan()
+        stages = [plan]
+        written = []
+        while stages:
+            node = stages.pop()
+            if "QueryStage" in node.nodeName():
+                node = node.plan()
+            if node.nodeName() == "Exchange":
+                written.append(node.metrics().apply("shuffleRecordsWritten").value())
+            inner = [node.children().apply(i) for i in range(node.children().size())]
+            stages += inner or ([node.executedPlan()] if node.nodeName().startswith("AdaptiveSparkPlan") else [])
+        # 200 heads; of the tails' seeds, five or six a sequence, about those at the next one's head
+        assert len(written) == 2 and sum(written) < 200 + 200 * 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+
+
 def test_map_exact_equals_brute_force_with_shared_seeds(spark):
     r = random.Random(8)
     texts = ["".join(r.choice("ACGT") for _ in range(n)) for n in (700, 256, 512, 100, 40)] + ["ACGTA" * 130, "N" * 300]

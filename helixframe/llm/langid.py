@@ -34,6 +34,8 @@ from helixframe.llm.text import LOWER, SPACE, bytes_of, chunks, mix
 BUCKETS, DIMS = 1 << 16, 16
 SIZES = (2, 3, 4)
 SAMPLE_ROWS, LEAST_ROWS, WINDOWS, WINDOW_WORDS, WINDOW_BYTES = 6000, 20, 2, 24, 4096
+#: Bytes of sampled text whose subwords the driver holds at once.
+RUN_BYTES = 1 << 16
 EPOCHS, BATCH, RATE = 6, 64, 0.5
 #: Step sizes of the softmax and of table rows against RATE, and the most that a row moves in a step.
 TOP_STEP, ROW_STEP, MOST_STEP = 3.0, 5.0, 1.0
@@ -69,11 +71,20 @@ def subwords(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield (mix(total) >> np.uint64(48)).astype(np.int64), np.searchsorted(spots, offs)
 
 
+def _runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts of the bounded sample by runs of about RUN_BYTES: all at once their subwords take a hundred times their bytes of the driver."""
+    for batch in chunks([pa.RecordBatch.from_arrays([texts], names=["t"])], "t", most=RUN_BYTES):
+        yield batch["t"]
+
+
 def bags(texts: pa.Array) -> list[np.ndarray]:
-    """The subword rows of each text; only for the bounded sample."""
-    data, offs = bytes_of(texts)
-    parts = list(subwords(data, offs))
-    return [np.concatenate([rows[at[i] : at[i + 1]] for rows, at in parts]) for i in range(len(offs) - 1)]
+    """The subword rows of each text, in as few bytes as BUCKETS allows; only for the bounded sample."""
+    out = []
+    for run in _runs(texts):
+        data, offs = bytes_of(run)
+        parts = [(rows.astype(np.min_scalar_type(BUCKETS - 1)), at) for rows, at in subwords(data, offs)]
+        out += [np.concatenate([rows[at[i] : at[i + 1]] for rows, at in parts]) for i in range(len(offs) - 1)]
+    return out
 
 
 def _segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -184,8 +195,9 @@ def _thresholds(model: Model, texts: list[str]) -> np.ndarray:
     with fewer takes in shorter ones until it has them, then longer ones.
     """
     cut = [" ".join(t.split()[:n]) for n in CUTS for t in texts if len(t.split()) > n]
-    logits, length = model.logits(pa.array([*texts, *cut], pa.string()))
-    score = _softmax(logits * model.temperature).max(axis=1)
+    parts = [model.logits(run) for run in _runs(pa.array([*texts, *cut], pa.string()))]
+    score = np.concatenate([_softmax(logits * model.temperature).max(axis=1) for logits, _ in parts])
+    length = np.concatenate([x for _, x in parts])
     number = np.bincount(length, minlength=LENGTHS)
     found = np.zeros(LENGTHS)
     for c in range(LENGTHS):

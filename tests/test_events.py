@@ -36,3 +36,19 @@ def test_marks_before_1970_and_without_time(spark, odd, name, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert sorted(got, key=str) == sorted(want.fetchall(), key=str)
+
+
+@pytest.mark.parametrize("name", ["interval_merge_100", "mark_clumps", "misassembled_windows", "top3_limits", "densest_window", "interval_diff_100"])
+def test_marks_just_before_a_minute(spark, tmp_path, name):
+    """Parts of a millisecond count to the nearest: 59.9995 seconds are the next minute."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (user_id BIGINT, ts TIMESTAMP)")
+    for user, year in ((1, 2024), (2, 1969), (3, 1970)):
+        at = datetime.datetime(year, 1, 1, 0, 0, 59)
+        rows = [(user, at + datetime.timedelta(minutes=100 * i + i % 3, microseconds=999_000 + part)) for i, part in enumerate((0, 499, 500, 501, 999, 600, 499, 500))]
+        con.executemany("INSERT INTO events VALUES (?, ?)", rows)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = con.execute(ORACLES[name])
+    names = [c[0] for c in want.description]
+    got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(*names).collect()]
+    assert sorted(got) == sorted(want.fetchall())

@@ -216,3 +216,18 @@ def test_reach_without_distances(spark, monkeypatch):
     assert got(graph.reach(e, nodes_of(spark, [1, 2]), dists=False), "start", "node", "dist") == [(s, v, 0) for s in (1, 2) for v in (1, 2, 3, 9)]
     with pytest.raises(ValueError):
         graph.reach(e, nodes_of(spark, [1]), dists=False, limit=2)
+
+
+def test_reach_not_starts_from_every_node(spark, tmp_path):
+    import duckdb
+
+    from helixframe.registry import ORACLES, QUERIES
+
+    r = random.Random(8)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, "".join(r.choice("ACGT") for _ in range(600))) for i in (1, 2)])
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    found = {tuple(x) for x in QUERIES["reach_not"](spark, str(tmp_path)).select("start", "node").collect()}
+    assert {s for s, _ in found} == {i * 100_000 + k for i in (1, 2) for k in range(13)}
+    assert found == set(con.execute(f"SELECT start, node FROM ({ORACLES['reach_not']})").fetchall())

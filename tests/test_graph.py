@@ -231,3 +231,24 @@ def test_reach_not_starts_from_every_node(spark, tmp_path):
     found = {tuple(x) for x in QUERIES["reach_not"](spark, str(tmp_path)).select("start", "node").collect()}
     assert {s for s, _ in found} == {i * 100_000 + k for i in (1, 2) for k in range(13)}
     assert found == set(con.execute(f"SELECT start, node FROM ({ORACLES['reach_not']})").fetchall())
+
+
+@pytest.mark.parametrize("room", [20, 1 << 23])
+def test_limited_reach_shares_what_lies_around_a_block(spark, monkeypatch, room):
+    """Ways of many starts into one node are followed in the blocks of the starts; none of them travels to that node's block."""
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    monkeypatch.setattr(graph, "ROOM", room)
+    rows = []
+
+    def noted(df, label, write=graph.materialize):
+        found = write(df, label)
+        if "inside" in found.columns and "block" not in found.columns:
+            rows.append(found.where("node = 1000").count())
+        return found
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    e = edges_of(spark, [(i, 1000) for i in range(200)] + [(1000 + i, 1001 + i) for i in range(5)] + [(1003, 7), (1005, 1000)])
+    want = {(i, i): 0 for i in range(200)} | {(i, 1000 + d): d + 1 for i in range(200) for d in range(5)} | {(i, 7): 5 for i in range(200) if i != 7}
+    found = graph.reach(e, nodes_of(spark, range(200)), limit=5).collect()
+    assert len(found) == len(want) and {(r["start"], r["node"]): r["dist"] for r in found} == want
+    assert max(rows) <= 12
